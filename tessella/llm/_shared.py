@@ -46,14 +46,16 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about max_bytes of `column` or a single row; bounds a worker's memory."""
+    """Arrow batches cut so that each holds about max_bytes (of a list, elements) of `column` or a single row; bounds a worker's memory."""
     import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(np.asarray(sizes).tolist()):
             if i > start and total + n > max_bytes:

@@ -260,7 +260,7 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", out: str = "ids", ba
     `batch_bytes` of text or one longer text, and its cache of pieces. Other columns, nulls, ties and repeated rows pass
     through; a column already called `out` is replaced; an empty table gives an empty one."""
     kept = docs.drop(out)
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
@@ -279,7 +279,7 @@ def decode(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded",
 
     offsets: also a column of that name with the byte offset of every id, and the whole length last."""
     kept = docs.drop(*[c for c in (out, offsets) if c])
-    more = [T.StructField(out, T.BinaryType())] + ([T.StructField(offsets, T.ArrayType(T.LongType(), False))] if offsets else [])
+    more = [T.StructField(out, T.BinaryType())] + ([T.StructField(offsets, T.ArrayType(T.LongType()))] if offsets else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)

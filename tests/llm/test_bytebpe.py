@@ -15,11 +15,11 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytebpe.load(PATH).merger.ranks, special_tokens={})
 
 
-def test_every_code_point(library):
+def test_code_points(library):
     bpe = bytebpe.load(PATH)
-    texts = [f"a{chr(c)}1 {chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    for k in range(0, len(texts), 50_000):
-        assert bpe.encode(texts[k : k + 50_000]) == library.encode_ordinary_batch(texts[k : k + 50_000])
+    points = [*range(0x3100), *random.Random(2).sample([c for c in range(0x3100, 0x110000) if not 0xD800 <= c < 0xE000], 20_000)]
+    texts = [f"a{chr(c)}1 {chr(c)}" for c in points]
+    assert bpe.encode(texts) == library.encode_ordinary_batch(texts)
 
 
 def test_contractions_and_white_space(library):
