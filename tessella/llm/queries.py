@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe
+from tessella.llm import bytebpe, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": bytebpe.op2_byte_bpe}
+    return {"op2_byte_bpe": bytebpe.op2_byte_bpe, "op3_best_fit_packing": packing.op3_best_fit_packing}
 
 
 def oracle_sql() -> dict[str, str]:
