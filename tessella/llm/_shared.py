@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,6 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about max_bytes (of a list, elements) of `column` or a single row; bounds a worker's memory."""
-    import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -77,3 +77,44 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     )
     found = documents.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # `rows` ids at most
     return [(t, int(y)) for _, t, y in sorted((r["_id"], r["_text"], r["_label"]) for r in found.select("_id", "_text", "_label").collect())]
+
+
+# Vectorised words and hashes over the bytes of many texts.
+
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that its powers can be undone
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: a bijection of uint64 whose output bits all depend on all input bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of each word of a uint8 array."""
+    inside = np.zeros(buffer.size + 2, np.int8)
+    inside[1:-1] = ~SPACES[buffer]
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def hashes_of(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length, by differences of running sums of a polynomial modulo 2^64."""
+    if _powers[0].size <= buffer.size:
+        n = 1 << int(buffer.size).bit_length()
+        for k, base in ((0, BASE), (1, np.uint64(pow(int(BASE), -1, 1 << 64)))):
+            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+    sums = np.zeros(buffer.size + 1, np.uint64)
+    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * _powers[0][: buffer.size], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def joined_bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, each followed by a space; offsets of the texts, and the whole length last)."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)])
+    return np.frombuffer(b" ".join(raw) + b" ", np.uint8), offsets

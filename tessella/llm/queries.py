@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, packing
+from tessella.llm import bytebpe, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": bytebpe.op2_byte_bpe, "op3_best_fit_packing": packing.op3_best_fit_packing}
+    return {
+        "op2_byte_bpe": bytebpe.op2_byte_bpe,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op7_quality_classifier": quality.op7_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
