@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, packing, quality
+from tessella.llm import bytebpe, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_quality_classifier": quality.op7_quality_classifier,
     }
 
