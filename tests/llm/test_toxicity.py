@@ -43,7 +43,7 @@ def test_near_second_person():
 def test_frames(spark):
     rows = [(1, "you idiot", 3.0), (None, None, 1.0), (1, "you idiot", 3.0), (2, "", None), (3, "idiot " * 100_000, 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    model = toxicity.Model([("a nice day", 0), ("you idiot and scum", 1)] * 60)
+    model = toxicity.Model([(("a nice day " if y == 0 else "you idiot and scum ") * n, y) for n in range(1, 40) for y in (0, 1)] + [("you can go", 0), ("idiot", 1)] * 30)
     out = {(r.doc_id, r.score) for r in toxicity.score(docs, model).collect()}
     by = dict(out)
     assert by[1] > 0.5 > by[2] == by[None] and len(out) == 4
