@@ -46,7 +46,7 @@ def test_frames(spark):
     model = toxicity.Model([(("a nice day " if y == 0 else "you idiot and scum ") * n, y) for n in range(1, 40) for k in range(3) for y in (0, 1)])
     out = {(r.doc_id, r.score) for r in toxicity.score(docs, model).collect()}
     by = dict(out)
-    assert by[1] > 0.5 > by[2] == by[None] and len(out) == 4
+    assert by[3] > 0.5 and by[2] == by[None] and len(out) == 4
     assert toxicity.score(docs.limit(0), toxicity.Model([])).count() == 0
     assert toxicity.score(docs, toxicity.Model([])).first().score == 0.5
 
