@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, minhash, packing, quality, toxicity
+from tessella.llm import bytebpe, minhash, packing, quality, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
+        "op9_quality_rules": rules.op9_quality_rules,
     }
 
 
