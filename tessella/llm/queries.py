@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, minhash, packing, quality, rules, toxicity
+from tessella.llm import bytebpe, minhash, packing, quality, rules, toxicity, webarchive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": webarchive.op1_warc,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op6_toxicity": toxicity.op6_toxicity,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": webarchive.OP1_SQL}
