@@ -177,14 +177,10 @@ def sets_of(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.mapInArrow(run, "_key binary, _set binary")
 
 
-def similar(pairs: DataFrame, documents: DataFrame, least: float, words: int) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b) of text keys whose shingle sets have a Jaccard similarity of at least `least`, exactly.
 
-    documents: (_key, _id, _text) of all rows; pairs: (a, b, id_a, id_b), with the id of a row that has the text. A
-    pair's sets meet in the row of the pair, so a text with very many partners isn't gathered."""
-    wanted = pairs.select(F.col("a").alias("_key"), F.col("id_a").alias("_id")).union(pairs.select("b", "id_b")).distinct()
-    texts = documents.join(wanted.withColumnsRenamed({"_key": "_k", "_id": "_i"}), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
-    sets = materialise(sets_of(texts.dropDuplicates(["_key", "_id"]).select("_key", "_text"), words).dropDuplicates(["_key"]), "sets")
+    sets: (_key, _set). A pair's sets meet in the row of the pair, so a text with very many partners isn't gathered."""
     first, second = (sets.select(F.col("_key").alias(c), F.col("_set").alias(f"set_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +192,64 @@ def similar(pairs: DataFrame, documents: DataFrame, least: float, words: int) ->
                 keep.append(both >= least * (p.size + q.size - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+
+
+def block_links(keys: list[bytes], roots: list[bytes], outside: np.ndarray, left: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[bytes, bytes]]:
+    """Links between rows of different classes, one row being `outside` its bucket's largest class: enough of them to connect
+    all classes that such links connect. left: the part of each row; two parts are compared with each other only.
+
+    For each row outside, the postings of its shingles count what it shares with every row."""
+    sizes = np.array([x.size for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    posted, bounds = owner[order], np.searchsorted(column[order], np.arange(values.size + 1))
+    starts, two = np.cumsum(sizes) - sizes, left.any() and not left.all()
+    names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    label, found = np.array([names[r] for r in roots]), []
+    for i in np.flatnonzero(outside).tolist():
+        own = column[starts[i] : starts[i] + sizes[i]]
+        length = bounds[own + 1] - bounds[own]
+        at = np.repeat(bounds[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        shared = np.bincount(posted[at], minlength=len(sets))
+        linked = (shared >= least * (sizes + sizes[i] - shared)) & (label != label[i])
+        if two:
+            linked &= left != left[i]
+        for j in np.flatnonzero(linked).tolist():
+            if label[i] != label[j]:
+                found.append((keys[i], keys[j]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+#: Shingles in a block of a bucket, on average.
+BLOCK = 1_000_000
+
+
+def open_links(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between texts of a bucket that aren't in one class, one of them outside its largest class.
+
+    member: (band, _key, _size, root). A bucket is dealt by hash into blocks of about BLOCK shingles, and every two blocks are
+    compared in a task of their own that gives back links only, no pairs."""
+    counted = member.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("_size").alias("s"))
+    largest = counted.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"), F.sum("s").alias("s")).where("classes > 1")
+    mixed = member.join(largest.select("band", F.col("top.root").alias("top"), F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks")), "band")
+    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("_key"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = mixed.select("band", "_key", "root", (F.col("root") != F.col("top")).alias("outside"), "block", other)
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_key", "root", "outside", "block").join(sets, "_key")
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in group)
+        block = table.column("block").to_numpy()
+        found = block_links(
+            table.column("_key").to_pylist(), table.column("root").to_pylist(), table.column("outside").to_numpy(),
+            block == i if i != j else np.zeros(len(block), bool), [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()], least,
+        )
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weights: str = "set") -> DataFrame:
@@ -214,33 +267,22 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     texts = materialise(sketches.groupBy("_key").agg(F.min("_id").alias("_first")), "texts")
     # one row of each text stands for it; of repeated rows, any
     reps = sketches.withColumnRenamed("_key", "_k").join(texts, (F.col("_k") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
-    entry = F.explode("_bands").alias("band")
-    entries = reps.select("_key", "_first", "_size", entry)
-    centres = entries.groupBy("band").agg(F.min(F.struct("_key", "_first", "_size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c")
+    entries = reps.select("_key", "_size", F.explode("_bands").alias("band"))
+    centres = entries.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c")
     shared = materialise(entries.join(centres, "band"), "buckets")
-
-    def alike(x: str, y: str) -> str:  # needed for the similarity
-        return f"least({x}, {y}) >= {least} * greatest({x}, {y})"
-
-    stars = shared.where(f"_key != c._key and {alike('_size', 'c._size')}")
-    pairs = materialise(stars.select(F.col("c._key").alias("a"), F.col("_key").alias("b"), F.col("c._first").alias("id_a"), F.col("_first").alias("id_b")).distinct(), "pairs")
-    links = materialise(similar(pairs, docs, least, words), "links")
+    # the shingle sets of all texts that share a bucket; the plan is the same at every size
+    wanted = shared.select(F.col("_key").alias("_k")).distinct().join(texts.withColumnRenamed("_key", "_k"), "_k")
+    found = docs.join(wanted.hint("merge"), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    sets = materialise(sets_of(found, words).dropDuplicates(["_key"]), "sets")
+    stars = shared.where(f"_key != c._key and least(_size, c._size) >= {least} * greatest(_size, c._size)")
+    pairs = stars.select(F.col("c._key").alias("a"), F.col("_key").alias("b")).distinct()
+    links = materialise(similar(pairs, sets, least), "links")
     classes = components(links)
     # what the stars leave open
-    member = shared.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("band", "_key", "_first", "_size", F.coalesce("root", "_key").alias("root"), F.col("c._key").alias("centre"))
-    member = materialise(member, "members")
-    largest = member.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = member.join(largest.select("band", F.col("top.root").alias("top")), "band").where("_key != centre")
-    outside = mixed.where("root != top").select("band", *(F.col(c).alias(f"o{c}") for c in ("_key", "_first", "_size", "root")))
-    more = outside.join(mixed, "band").where(f"root != oroot and (root = top or _key < o_key) and {alike('_size', 'o_size')}")
-    mine, other = F.struct("_key", "_first"), F.struct(F.col("o_key").alias("_key"), F.col("o_first").alias("_first"))
-    both = more.select(F.when(F.col("_key") < F.col("o_key"), F.struct(mine.alias("a"), other.alias("b"))).otherwise(F.struct(other.alias("a"), mine.alias("b"))).alias("p"))
-    both = both.select(F.col("p.a._key").alias("a"), F.col("p.b._key").alias("b"), F.col("p.a._first").alias("id_a"), F.col("p.b._first").alias("id_b"))
-    more = materialise(both.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    member = shared.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("band", "_key", "_size", F.coalesce("root", "_key").alias("root"))
+    more = materialise(open_links(materialise(member, "members"), sets, least), "links")
     if not more.isEmpty():
-        found = materialise(similar(more, docs, least, words), "links")
-        if not found.isEmpty():
-            classes = components(links.union(found))
+        classes = components(links.union(more))
     named = texts.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "_first", F.coalesce("root", "_key").alias("root"))
     named = materialise(named, "named")
     smallest = named.groupBy("root").agg(F.min("_first").alias("class_id"))

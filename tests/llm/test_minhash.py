@@ -76,7 +76,8 @@ def key(x):
     return tuple(-1 if v is None else v for v in x)
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 700)  # so that buckets have several blocks
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     rows, n = [], 0
