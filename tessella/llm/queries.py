@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, minhash, packing, quality, rules, toxicity, webarchive
+from tessella.llm import bytebpe, lattice, minhash, packing, quality, rules, toxicity, webarchive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_minhash_near_dedup": minhash.op8_minhash_near_dedup,
         "op9_quality_rules": rules.op9_quality_rules,
+        "op10_subword_lattice": lattice.op10_subword_lattice,
     }
 
 
