@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bytebpe, lattice, minhash, packing, quality, rules, toxicity, vectors, webarchive
+from tessella.llm import bytebpe, lattice, minhash, packing, quality, rules, toxicity, urlfilter, vectors, webarchive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": webarchive.op1_warc,
         "op2_byte_bpe": bytebpe.op2_byte_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_url_filter": urlfilter.op4_url_filter,
         "op5_embedding_near_dedup": vectors.op5_embedding_near_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_quality_classifier": quality.op7_quality_classifier,
