@@ -1,8 +1,47 @@
-"""A corpus pipeline out of the operators in tessella.llm."""
+"""A corpus pipeline: bad documents go by the quality classifier and the quality rules, one document of each group of near
+copies stays, and the rest is packed into training sequences.
 
-STAGES = []
+Each stage takes all documents that the one before it kept, and returns them with the columns of `documents`; the last
+returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm import minhash, packing, quality, rules
+from tessella.llm._shared import materialise
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored at the threshold or above; the classifier learns from labelled ones among docs."""
+    margins, bias = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, margins, bias, out="_score").where(f"_score >= {quality.THRESHOLD}").drop("_score")
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return rules.good_documents(docs)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each class of near copies."""
+    return minhash.one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their sequences and places."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [("quality classifier", quality_stage), ("quality rules", rules_stage), ("near-duplicates", dedup_stage), ("packing", packing_stage)]
+
+#: SQL can't express the stages; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

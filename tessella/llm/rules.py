@@ -27,22 +27,27 @@ SPACE = " \t\n\x0b\x0c\r"
 P = range(4)
 
 
+def once(column: str, body) -> Column:
+    """body(column) with the column bound as a variable: a filter above may be pushed down and bring the column's own
+    expression along, which inside a lambda would be evaluated for every element."""
+    return F.transform(F.array(F.col(column)), body)[0]
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed.
 
     A null text has no words. A three-word window is known by a 64-bit hash; only texts in which some hash repeats are
     sorted by window, so a text costs n log n at most, whatever its length."""
-    own = ["_text", "_words", "_hashes"]
     body = docs.select(*(c for c in docs.columns if c != text), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     trimmed = F.btrim(F.col("_text"), F.lit(SPACE))
     out = body.withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SPLIT)))
     n = F.size("_words")
-    w = lambda i: F.get("_words", i)
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(w(i), w(i + 1), w(i + 2)))
+    windows = once("_words", lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     out = out.withColumn("_hashes", F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")))
     placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
-    again = F.filter("_placed", lambda x, j: (F.get("_placed", j - 1)["h"] == x["h"]) | F.coalesce(F.get("_placed", j + 1)["h"] == x["h"], F.lit(False)))
+    same = lambda p, j, x: F.coalesce(F.get(p, j)["h"] == x["h"], F.lit(False))
+    again = once("_placed", lambda p: F.filter(p, lambda x, j: same(p, j - 1, x) | same(p, j + 1, x)))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = out.withColumn("_lines", lines)
@@ -94,16 +99,18 @@ def with_groups(rows: DataFrame, few: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(few) if small else few, "_group")
 
 
-def judge(stats: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """stats with distance (null if base_failed) and kept: not base_failed and not farther than `cutoff`.
+def group_key(*columns: Column) -> Column:
+    return F.to_json(F.struct(F.lit(len(columns)).alias("level"), *columns))
+
+
+def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """A row for each group: _group and its estimates, or those of its language or of all if it is small.
 
     Groups are the values of language and source, null being a value. Documents that fail the base rules take no part in the
     estimates. Groups of any size are aggregated in part before a shuffle. Ties and repeated rows count as they are;
-    an empty table gives an empty one."""
-    x = vector()
-    rows = materialise(stats.withColumns({f"x{i}": x[i] for i in P}), "stats")
-    good = rows.where(~F.col("base_failed"))
-    key = lambda *c: F.to_json(F.struct(F.lit(len(c)).alias("level"), *c))
+    an empty table gives no estimates. stats is read several times: a written table."""
+    x, key = vector(), group_key
+    good = stats.where(~F.col("base_failed")).withColumns({f"x{i}": x[i] for i in P})
     lang_, both = F.col(lang).alias("lang"), (F.col(lang).alias("lang"), F.col(source).alias("source"))
     pairs = good.groupBy(key(*both).alias("_pair"), key(lang_).alias("_lang")).agg(F.count("*").alias("n"))
     langs = pairs.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
@@ -124,11 +131,24 @@ def judge(stats: DataFrame, lang: str = "lang", source: str = "source", cutoff:
         limit = materialise(measured.groupBy("_group").agg(F.percentile_approx("d", PART, 10_000).alias("limit")), "limits")
         nearer = with_groups(measured, limit).where("d <= limit")
         middle = materialise(estimates(nearer, CONSISTENCY), "estimates")
-    final = materialise(chosen.join(middle.withColumnRenamed("_group", "_to"), "_to").drop("_to"), "estimates")
-    failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    kept = with_groups(good.withColumn("_group", key(*both)), final).withColumn("distance", distance())
-    names = [*stats.columns, "distance"]
-    return kept.select(names).unionByName(failed.select(names)).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+    return materialise(chosen.join(middle.withColumnRenamed("_group", "_to"), "_to").drop("_to"), "estimates")
+
+
+def judge(stats: DataFrame, groups: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """stats with distance (null if base_failed) and kept: not base_failed and not farther than `cutoff`."""
+    x, names = vector(), [*stats.columns, "distance"]
+    good = stats.where(~F.col("base_failed")).withColumns({f"x{i}": x[i] for i in P})
+    good = good.withColumn("_group", group_key(F.col(lang).alias("lang"), F.col(source).alias("source")))
+    kept = with_groups(good, groups).withColumn("distance", distance()).select(names)
+    failed = stats.where("base_failed").withColumn("distance", F.lit(None).cast("double")).select(names)
+    return kept.unionByName(failed).withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= cutoff))
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """docs without those that the rules reject, all columns as they are. The rows are written once with their statistics."""
+    rows = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    stats = materialise(statistics(rows), "stats")
+    return judge(stats.where(~F.col("base_failed")), fit(stats.drop("_row"))).where("kept").select("_row.*")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -136,4 +156,5 @@ RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judge(statistics(docs)).select(*RESULT, "distance")
+    stats = materialise(statistics(docs), "stats")
+    return judge(stats, fit(stats)).select(*RESULT, "distance")

@@ -27,9 +27,12 @@ def test_best_fit_takes_the_tightest_bin():
         assert tree.made == len(left)
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+TOKENIZER.encode_special_tokens = True
+
+
 def ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    t = TOKENIZER
     return [*t.encode(text, add_special_tokens=False).ids, 0]
 
 

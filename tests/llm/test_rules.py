@@ -56,7 +56,7 @@ def test_distances_against_numpy(spark):
     rows[0] = (500, 2500, 900, 0, 10, False, "en", "s")
     stats = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, source string")
     x = np.array([[r[f"x{i}"] for i in range(4)] for r in stats.select(*(c.alias(f"x{i}") for i, c in enumerate(rules.vector()))).collect()])
-    got = {(r.n_words, r.word_chars, r.n_repeat_words): (r.distance, r.kept) for r in rules.judge(stats).collect()}
+    got = {(r.n_words, r.word_chars, r.n_repeat_words): (r.distance, r.kept) for r in rules.judge(stats, rules.fit(stats)).collect()}
     for r, d in zip(rows, by_hand(x)):
         assert got[r[0], r[1], r[4]][0] == pytest.approx(d, rel=0.05)
     assert not got[500, 2500, 10][1] and sum(k for _, k in got.values()) >= 395
@@ -67,10 +67,14 @@ def test_groups_nulls_and_empty(spark):
     rows = [(i, good + f"x{i}", "en" if i % 2 else None, None if i % 3 else "s", 1.0) for i in range(300)]
     rows += [(1000, good, "de", "rare", 1.0), (1000, good, "de", "rare", 1.0), (None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, distance double")
-    out = rules.judge(rules.statistics(docs.drop("distance"))).collect()
+    stats = rules.statistics(docs.drop("distance"))
+    out = rules.judge(stats, rules.fit(stats)).collect()
     assert len(out) == len(rows) and all(r.kept for r in out if r.doc_id is not None)
     assert [r.kept for r in out if r.doc_id is None] == [False]
-    assert rules.judge(rules.statistics(docs.drop("distance").limit(0))).count() == 0
+    none = stats.limit(0)
+    assert rules.judge(none, rules.fit(none)).count() == 0
+    kept = rules.good_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 1
 
 
 def test_query_keeps_clean_documents(spark):
