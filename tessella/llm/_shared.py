@@ -30,9 +30,13 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    small: for rows of a few numbers; written by no more than two tasks a core, as every file costs more than its rows."""
     path = new_folder(df.sparkSession, tag)
+    if small:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -22,17 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     chain as well, shrinks by a constant factor a round. Minima are taken before the shuffle, so a node with very many
     links isn't gathered anywhere; links and moves are tables and never reach the driver. Links may repeat, stand in
     either direction or join a node to itself; nulls are left out."""
-    links = materialise(links.select("a", "b").where("a is not null and b is not null").distinct(), "links")
+    links = materialise(links.select("a", "b").where("a is not null and b is not null").distinct(), "links", small=True)
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    moved = materialise(nodes.select("node", F.col("node").alias("root")), "roots")
+    moved = materialise(nodes.select("node", F.col("node").alias("root")), "roots", small=True)
     links, turn = links.where("a != b"), 0
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select("b", "a"))
         first = both.groupBy("a").agg(F.min(ranked("b", turn)).alias("other"))
-        moves = materialise(first.select(F.col("a").alias("node"), F.least("other", ranked("a", turn))["node"].alias("to")), "moves")
+        moves = materialise(first.select(F.col("a").alias("node"), F.least("other", ranked("a", turn))["node"].alias("to")), "moves", small=True)
         to_a, to_b = (moves.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         again = links.join(to_a, "a").join(to_b, "b").where("to_a != to_b")
-        links = materialise(again.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links")
-        moved = materialise(moved.join(moves.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        links = materialise(again.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "links", small=True)
+        moved = materialise(moved.join(moves.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots", small=True)
         turn += 1
     return moved

@@ -264,7 +264,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows may repeat; an empty table gives an empty one."""
     docs = documents.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
     sketches = materialise(sketch(docs, "_text", bands, rows, words, weights), "sketches")
-    texts = materialise(sketches.groupBy("_key").agg(F.min("_id").alias("_first")), "texts")
+    texts = materialise(sketches.groupBy("_key").agg(F.min("_id").alias("_first")), "texts", small=True)
     # one row of each text stands for it; of repeated rows, any
     reps = sketches.withColumnRenamed("_key", "_k").join(texts, (F.col("_k") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
     entries = reps.select("_key", "_size", F.explode("_bands").alias("band"))
@@ -276,15 +276,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = materialise(sets_of(found, words).dropDuplicates(["_key"]), "sets")
     stars = shared.where(f"_key != c._key and least(_size, c._size) >= {least} * greatest(_size, c._size)")
     pairs = stars.select(F.col("c._key").alias("a"), F.col("_key").alias("b")).distinct()
-    links = materialise(similar(pairs, sets, least), "links")
+    links = materialise(similar(pairs, sets, least), "links", small=True)
     classes = components(links)
     # what the stars leave open
     member = shared.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("band", "_key", "_size", F.coalesce("root", "_key").alias("root"))
-    more = materialise(open_links(materialise(member, "members"), sets, least), "links")
+    more = materialise(open_links(materialise(member, "members"), sets, least), "links", small=True)
     if not more.isEmpty():
         classes = components(links.union(more))
     named = texts.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "_first", F.coalesce("root", "_key").alias("root"))
-    named = materialise(named, "named")
+    named = materialise(named, "named", small=True)
     smallest = named.groupBy("root").agg(F.min("_first").alias("class_id"))
     by_text = named.join(smallest, "root").select("_key", "class_id")
     return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id")

@@ -115,23 +115,23 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFra
     pairs = good.groupBy(key(*both).alias("_pair"), key(lang_).alias("_lang")).agg(F.count("*").alias("n"))
     langs = pairs.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
     chosen = pairs.join(langs, "_lang").select(F.col("_pair").alias("_group"), F.when(F.col("n") >= SMALLEST, F.col("_pair")).when(F.col("n_lang") >= SMALLEST, F.col("_lang")).otherwise(key()).alias("_to"))
-    chosen = materialise(chosen, "groups")
+    chosen = materialise(chosen, "groups", small=True)
     placed = with_groups(good.withColumn("_group", key(*both)), chosen).drop("_group").withColumnRenamed("_to", "_group")
     placed = materialise(placed.select("_group", *(f"x{i}" for i in P)), "vectors")
     # groups that lend their estimates are made of all documents below them
     lent = good.select(key(lang_).alias("_group"), *(f"x{i}" for i in P)).unionByName(good.select(key().alias("_group"), *(f"x{i}" for i in P)))
-    needed = materialise(chosen.select(F.col("_to").alias("_group")).distinct(), "needed")
+    needed = materialise(chosen.select(F.col("_to").alias("_group")).distinct(), "needed", small=True)
     own = placed.where(~F.col("_group").startswith('{"level":1') & ~F.col("_group").startswith('{"level":0'))
     sample = own.unionByName(with_groups(lent, needed))
     # start: robust distances by component
     middle = sample.groupBy("_group").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in P))
-    middle = materialise(middle.select("_group", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in P), *(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i] ** 0.5)).alias(f"l{i}{i}") for i in P), *(F.lit(0.0).alias(f"l{i}{j}") for i in P for j in range(i))), "estimates")
+    middle = materialise(middle.select("_group", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in P), *(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i] ** 0.5)).alias(f"l{i}{i}") for i in P), *(F.lit(0.0).alias(f"l{i}{j}") for i in P for j in range(i))), "estimates", small=True)
     for _ in range(STEPS):
         measured = with_groups(sample, middle).select("_group", *(f"x{i}" for i in P), distance().alias("d"))
-        limit = materialise(measured.groupBy("_group").agg(F.percentile_approx("d", PART, 10_000).alias("limit")), "limits")
+        limit = materialise(measured.groupBy("_group").agg(F.percentile_approx("d", PART, 10_000).alias("limit")), "limits", small=True)
         nearer = with_groups(measured, limit).where("d <= limit")
-        middle = materialise(estimates(nearer, CONSISTENCY), "estimates")
-    return materialise(chosen.join(middle.withColumnRenamed("_group", "_to"), "_to").drop("_to"), "estimates")
+        middle = materialise(estimates(nearer, CONSISTENCY), "estimates", small=True)
+    return materialise(chosen.join(middle.withColumnRenamed("_group", "_to"), "_to").drop("_to"), "estimates", small=True)
 
 
 def judge(stats: DataFrame, groups: DataFrame, lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:

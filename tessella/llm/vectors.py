@@ -162,11 +162,11 @@ def near_vectors(rows: DataFrame, least: float = LEAST, sample: int = SAMPLE, ce
     # the vector follows from the key, so any of a key's rows will do
     kinds = materialise(table.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.min("label").alias("label"), F.min("vector").alias("vector")), "kinds")
     centres = pivots(kinds, sample, cell=cell)
-    found = materialise(joined(materialise(placed(kinds, centres, least), "cells"), least, block), "links")
+    found = materialise(joined(materialise(placed(kinds, centres, least), "cells"), least, block), "links", small=True)
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("more"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
     known = kinds.select("key", "first", "n").join(counts, "key", "left").join(roots, "key", "left")
-    known = materialise(known.select("key", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")), "known")
+    known = materialise(known.select("key", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")), "known", small=True)
     smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
     by_key = known.join(smallest, "root").select("key", "n_links", "component_id")
     linked = table.where("key is not null").join(by_key, "key").select("vec_id", "label", "n_links", "component_id")

@@ -35,6 +35,12 @@ def file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def partitions(df: DataFrame) -> int:
+    """As many as the session shuffles to: a number given is kept, while a few bytes of keys, behind which lie whole pages,
+    would otherwise be put together into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def capture_key(url: str = "url", page_id: str = "page_id") -> Column:
     """`com,example,www)/path?query 00000000000000000007`: control characters and spaces of the URL as %20.
 
@@ -108,7 +114,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int
             if out:
                 out.close()
 
-    return materialise(records.mapInArrow(run, "key string, file string, offset long, length long"), "captures")
+    # few and large archives: a file is open as long as its task runs
+    tasks = 4 * pages.sparkSession.sparkContext.defaultParallelism
+    return materialise(records.coalesce(tasks).mapInArrow(run, "key string, file string, offset long, length long"), "captures", small=True)
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[bytes, str, int, int]]:
@@ -143,8 +151,8 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name]), pa.array([at]), pa.array([len(raw)])], names=["key", "file", "offset", "length"])
 
-    ordered = captures.repartitionByRange("key").sortWithinPartitions("key")
-    top = materialise(ordered.mapInArrow(run, "key string, file string, offset long, length long"), "top").collect()
+    ordered = captures.repartitionByRange(partitions(captures), "key").sortWithinPartitions("key")
+    top = ordered.mapInArrow(run, "key string, file string, offset long, length long").collect()
     return sorted((r.key.encode(), r.file, r.offset, r.length) for r in top)
 
 
@@ -223,7 +231,7 @@ def lookup(wanted: DataFrame, folder: str, top: list[tuple[bytes, str, int, int]
         if rows:
             yield pack()
 
-    ordered = wanted.select(F.col(key).alias("key")).repartitionByRange("key").sortWithinPartitions("key")
+    ordered = wanted.select(F.col(key).alias("key")).repartitionByRange(partitions(wanted), "key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in names))
 
 
