@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import color
-from tessella.operators import analysis, compose, frames, geometry, neighborhood, palette, point, resample
+from tessella.operators import analysis, blocks, compose, drawing, frames, geometry, neighborhood, palette, point, resample
 from tessella.plans.fixtures import DUCK, pixels
 
 FLAGSHIP = "convolve_gauss3"
@@ -276,6 +276,49 @@ add("frames_exchange", "gray", lambda p: frames.exchange(framed(p), 1, 3), f"sel
 add("frames_count", "gray", lambda p: frames.counts(framed(p)), f"select image_id, max(frame_idx) + 1 as n_frames from {FRAMES} group by image_id", ["image_id", "n_frames"])
 
 
+# blocks
+BTC = "select image_id, bx, by_, case when n > 0 then u // n else 0 end as high, l // (16 - n) as low, mask from (select image_id, bx, by_, cast(sum(case when g > m then g else 0 end) as bigint) as u, cast(sum(case when g <= m then g else 0 end) as bigint) as l, cast(sum((g > m)::int) as bigint) as n, cast(sum(case when g > m then 1::bigint << k else 0 end) as bigint) as mask from (select image_id, x // 4 as bx, y // 4 as by_, (y % 4) * 4 + x % 4 as k, g, sum(g) over (partition by image_id, x // 4, y // 4) // 16 as m from p) group by image_id, bx, by_)"
+add("btc_encode", "gray", lambda p: blocks.btc_encode(p).withColumnsRenamed({"upper": "high", "lower": "low", "by": "by_"}), f"from ({BTC})", ["image_id", "bx", "by_", "high", "low", "mask"])
+add("btc_decode", "gray", lambda p: blocks.btc_decode(blocks.btc_encode(p)), f"select image_id, bx * 4 + k % 4 as x, by_ * 4 + k // 4 as y, case when (mask >> k) & 1 = 1 then high else low end as g from ({BTC}) cross join range(16) t(k)", [*XY, "g"])
+add("binary_pack", "gray", blocks.binary_pack, "select image_id, y, x // 8 as byte, sum(case when g > 128 then 1 << (7 - x % 8)::int else 0 end) as bits from p group by image_id, y, x // 8", ["image_id", "y", "byte", "bits"])
+add("binary_unpack", "gray", lambda p: blocks.binary_unpack(blocks.binary_pack(p)), "select image_id, x, y, case when g > 128 then 255 else 0 end as g from p", [*XY, "g"])
+
+
+def through(kind: str) -> Callable:
+    from tessella.sources import images
+
+    def run(p: DataFrame) -> DataFrame:
+        packed = images.from_pixels(p)
+        return images.to_pixels_fast(blocks.decompress(blocks.compress(packed, kind), kind), ["image_id"])
+
+    return run
+
+
+for kind in blocks.FORMATS:
+    add(f"block_{kind.lower()}", "rgba", through(kind), None, XY + ARGB)
+
+# drawing
+RED, GREEN = {"a": 255, "r": 255, "g": 0, "b": 0}, {"a": 255, "r": 0, "g": 200, "b": 10}
+
+
+def paint_sql(where: str, color: dict[str, int], source: str = "p") -> str:
+    return "(select image_id, x, y, " + ", ".join(f"case when {where} then {color[c]} else {c} end as {c}" for c in ARGB) + f" from {source})"
+
+
+add("draw_line", "events", lambda p: drawing.line(p, 5, 2, 90, 8, RED), "from " + paint_sql("x between 5 and 90 and y = 2 + (2 * 6 * (x - 5) + 85) // 170", RED), XY + ARGB)
+add("draw_line_steep", "rgba", lambda p: drawing.line(p, 6, 0, 2, 7, RED, 2), "from " + paint_sql("y between 0 and 7 and (x = 6 - (2 * 4 * y + 7) // 14 or x = 7 - (2 * 4 * y + 7) // 14)", RED), XY + ARGB)
+add("draw_frame_rect", "events", lambda p: drawing.frame_rect(p, 3, 1, 40, 8, RED), "from " + paint_sql("x between 3 and 42 and y between 1 and 8 and (x in (3, 42) or y in (1, 8))", RED), XY + ARGB)
+add("draw_rectangle", "events", lambda p: drawing.rectangle(p, 3, 1, 40, 8, GREEN, RED), "from " + paint_sql("x between 3 and 42 and y between 1 and 8 and (x in (3, 42) or y in (1, 8))", RED, paint_sql("x between 3 and 42 and y between 1 and 8", GREEN)), XY + ARGB)
+add("draw_ellipse", "events", lambda p: drawing.ellipse(p, 10, 1, 41, 7, GREEN), "from " + paint_sql("power((x - 30) / 20.5e0, 2) + power((y - 4) / 3.5e0, 2) <= 1", GREEN), XY + ARGB)
+HALF = "case when x between 2 and 6 and y between 1 and 5 then {} else {} end as {}"
+add("fill_rect_blend", "rgba", lambda p: drawing.fill_rect_blend(p, 2, 1, 5, 5, {"a": 100, "r": 250, "g": 20, "b": 90}),
+    "select image_id, x, y, " + HALF.format(c8("round((100 / 255e0 + a / 255e0 - 100 / 255e0 * (a / 255e0)) * 255, 9)"), "a", "a") + ", "
+    + ", ".join(HALF.format(c8(f"round(({v} / 255e0 * (100 / 255e0) + {c} / 255e0 * (1 - 100 / 255e0)) * 255, 9)"), c, c) for c, v in zip("rgb", (250, 20, 90))) + " from p", XY + ARGB)
+add("flood_fill", "doc", lambda p: drawing.flood_fill(p, 0, 0, (255, 1, 2, 3)), None, XY + ARGB)
+add("rotate_any", "rgba", lambda p: drawing.rotate(p, 30.0), None, XY + ARGB)
+add("rotate_any_quarter", "rgba", lambda p: drawing.rotate(p, 90.0), "select image_id, y as x, 7 - x as y, a, r, g, b from p", XY + ARGB)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
