@@ -16,9 +16,11 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,13 +165,15 @@ class Merger(dict):
     def __init__(self, ranks: dict[bytes, int], most: int):
         super().__init__()
         self.ranks, self.most, self.old = ranks, most, {}
+        if max(ranks.values(), default=0) >= 1 << 20:
+            raise ValueError("ids of 20 bits at most are expected")
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 left, right = ranks.get(token[:i]), ranks.get(token[i:])
                 if left is not None and right is not None:
-                    self.pairs[left << 32 | right] = rank
+                    self.pairs[left << 20 | right] = rank
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if (ids := self.old.get(piece)) is None:
@@ -189,22 +193,22 @@ class Merger(dict):
     def merge(self, raw: bytes) -> list[int]:
         get, none = self.pairs.get, 1 << 40
         ids = [self.single[b] for b in raw]
-        costs = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        costs = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
         while costs and (low := min(costs)) < none:
             i = costs.index(low)
             ids[i : i + 2] = [low]
             del costs[i]
             if i:
-                costs[i - 1] = get(ids[i - 1] << 32 | low, none)
+                costs[i - 1] = get(ids[i - 1] << 20 | low, none)
             if i < len(costs):
-                costs[i] = get(low << 32 | ids[i + 1], none)
+                costs[i] = get(low << 20 | ids[i + 1], none)
         return ids
 
     def merge_long(self, raw: bytes) -> list[int]:
         """The same with a heap and a linked list: n log n for pieces of any length."""
         get, n = self.pairs.get, len(raw)
         ids, after, before = [self.single[b] for b in raw], list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, left, right = heapq.heappop(heap)
@@ -214,9 +218,9 @@ class Merger(dict):
             ids[i], ids[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := get(rank << 32 | ids[after[i]])) is not None:
+                if (r := get(rank << 20 | ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if (p := before[i]) >= 0 and (r := get(ids[p] << 32 | rank)) is not None:
+            if (p := before[i]) >= 0 and (r := get(ids[p] << 20 | rank)) is not None:
                 heapq.heappush(heap, (r, p, ids[p], rank))
         return [x for x in ids if x >= 0]
 
@@ -224,15 +228,18 @@ class Merger(dict):
 class ByteBPE:
     """Encoder and decoder over a file of ranks (`base64 rank` a line)."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 400_000):
         self.merger = Merger(ranks, cache)
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         of = self.merger.__getitem__
-        return [[i for ids in map(of, pieces) for i in ids] for pieces in pre_tokenise(texts)]
+        return [np.fromiter(chain.from_iterable(map(of, pieces)), np.int32) for pieces in pre_tokenise(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -265,10 +272,9 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", out: str = "ids", ba
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
         for batch in sub_batches(batches, text, batch_bytes):
-            ids = bpe.encode([t or "" for t in batch.column(text).to_pylist()])
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes[-1]))
-            column = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
+            ids = bpe.encode_arrays([t or "" for t in batch.column(text).to_pylist()])
+            sizes = np.concatenate([[0], np.cumsum([x.size for x in ids])]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
@@ -284,7 +290,10 @@ def decode(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(ranks)
         for batch in sub_batches(batches, ids, 1_000_000):
-            lists = [x or [] for x in batch.column(ids).to_pylist()]
+            values = batch.column(ids)
+            flat, sizes = values.flatten().to_numpy(), pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes).tolist()
+            lists = [flat[a:b].tolist() for a, b in zip([0, *ends], ends)]
             columns = [*batch.columns, pa.array([bpe.decode(x) for x in lists], pa.binary())]
             if offsets:
                 columns.append(pa.array([bpe.offsets(x) for x in lists], pa.list_(pa.int64())))
