@@ -642,3 +642,344 @@ def by_extension(name: str) -> Codec | None:
 
 def register(codec: Codec) -> None:
     CODECS.append(codec)
+
+
+# GIF
+
+
+def lzw_decode(data: bytes, bits: int, total: int) -> bytes:
+    """Codes of growing width, lowest bit first."""
+    clear, out = 1 << bits, bytearray()
+    table, width, last = [], bits + 1, b""
+    hold = held = at = 0
+    while len(out) < total:
+        while held < width:
+            if at >= len(data):
+                return bytes(out)
+            hold |= data[at] << held
+            held, at = held + 8, at + 1
+        code = hold & ((1 << width) - 1)
+        hold, held = hold >> width, held - width
+        if code == clear:
+            table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], bits + 1, b""
+            continue
+        if code == clear + 1:
+            break
+        need(code < len(table) or (code == len(table) and bool(last)), "bad code")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last and len(table) < 4096:
+            table.append(last + entry[:1])
+        if len(table) >= 1 << width and width < 12:
+            width += 1
+        last = entry
+    return bytes(out)
+
+
+def lzw_encode(data: bytes, bits: int) -> bytes:
+    clear, out, hold, held = 1 << bits, bytearray(), 0, 0
+    table, width, count, code = {}, bits + 1, clear + 2, -1
+
+    def put(value: int) -> None:
+        nonlocal hold, held
+        hold |= value << held
+        held += width
+        while held >= 8:
+            out.append(hold & 255)
+            hold >>= 8
+            held -= 8
+
+    put(clear)
+    for byte in data:
+        if code < 0:
+            code = byte
+        elif (code, byte) in table:
+            code = table[code, byte]
+        else:
+            put(code)
+            if count < 4096:
+                table[code, byte] = count
+                if count >= 1 << width:
+                    width += 1
+                count += 1
+            else:
+                put(clear)
+                table, width, count = {}, bits + 1, clear + 2
+            code = byte
+    if code >= 0:
+        put(code)
+    put(clear + 1)
+    if held:
+        out.append(hold & 255)
+    return bytes(out)
+
+
+def gif_blocks(raw: bytes, at: int) -> tuple[bytes, int]:
+    out = bytearray()
+    while raw[at]:
+        out += raw[at + 1 : at + 1 + raw[at]]
+        at += 1 + raw[at]
+    return bytes(out), at + 1
+
+
+def gif_decode(raw: bytes) -> list[np.ndarray]:
+    """All frames as shown: each laid over the one before, after its disposal."""
+    w, h, flags = struct.unpack_from("<HHB", raw, 6)
+    need(w * h > 0, "bad size")
+    at = 13
+    common = None
+    if flags & 128:
+        n = 2 << (flags & 7)
+        common = np.frombuffer(raw, np.uint8, n * 3, at).reshape(n, 3)
+        at += n * 3
+    canvas, frames, clear, dispose = np.zeros((h, w, 4), np.uint8), [], None, 0
+    while at < len(raw) and raw[at] != 0x3B:
+        if raw[at] == 0x21:
+            kind = raw[at + 1]
+            body, at = gif_blocks(raw, at + 2)
+            if kind == 0xF9:
+                clear, dispose = body[3] if body[0] & 1 else None, body[0] >> 2 & 7
+            continue
+        need(raw[at] == 0x2C, "unknown block")
+        fx, fy, fw, fh, flags = struct.unpack_from("<HHHHB", raw, at + 1)
+        at += 10
+        table = common
+        if flags & 128:
+            n = 2 << (flags & 7)
+            table = np.frombuffer(raw, np.uint8, n * 3, at).reshape(n, 3)
+            at += n * 3
+        need(table is not None, "no palette")
+        bits = raw[at]
+        data, at = gif_blocks(raw, at + 1)
+        index = lzw_decode(data, bits, fw * fh)
+        rows = np.frombuffer(index.ljust(fw * fh, b"\0"), np.uint8).reshape(fh, fw)
+        if flags & 64:  # four passes: every eighth row, the rows between, and so on
+            order = np.concatenate([np.arange(a, fh, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
+            rows = rows[np.argsort(order)]
+        new, before = from_rgb(table[np.minimum(rows, len(table) - 1)]), canvas.copy()
+        area = canvas[fy : fy + fh, fx : fx + fw]
+        new, rows = new[: area.shape[0], : area.shape[1]], rows[: area.shape[0], : area.shape[1]]
+        shown = np.ones(rows.shape, bool) if clear is None else rows != clear
+        area[shown] = new[shown]
+        frames.append(canvas.copy())
+        if dispose == 2:
+            area[:] = 0
+        elif dispose == 3:
+            canvas = before
+        clear, dispose = None, 0
+    need(bool(frames), "no frames")
+    return frames
+
+
+def gif_encode(frames: list[np.ndarray], delay: int = 10) -> bytes:
+    """A palette for each frame; colours beyond 255 go to their nearest by the highest bits, and alpha is all or nothing."""
+    h, w = frames[0].shape[:2]
+    out = [b"GIF89a" + struct.pack("<HHBBB", w, h, 0, 0, 0), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
+    for p in frames:
+        need(p.shape == frames[0].shape, "frames differ in size")
+        rgb, drop = p[..., 1:].reshape(-1, 3), 0
+        while len(np.unique(rgb >> drop, axis=0)) > 255:
+            drop += 1
+        colors, index = np.unique(rgb >> drop << drop, axis=0, return_inverse=True)
+        index = np.where(p[..., 0].ravel() < 128, 255, index.ravel())
+        table = np.zeros((256, 3), np.uint8)
+        table[: len(colors)] = colors
+        data = lzw_encode(index.astype(np.uint8).tobytes(), 8)
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 | 2 << 2, delay, 255, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, w, h, 128 | 7) + table.tobytes() + b"\x08")
+        out += [bytes([len(data[k : k + 255])]) + data[k : k + 255] for k in range(0, len(data), 255)] + [b"\0"]
+    return b"".join(out) + b"\x3b"
+
+
+# DDS textures
+
+#: Four-character codes of the block formats and bytes of their blocks.
+DDS_BLOCKS = {b"DXT1": ("DXT1", 8), b"DXT3": ("DXT3", 16), b"DXT5": ("DXT5", 16), b"ATI1": ("ATI1N", 8), b"ATI2": ("ATI2N", 16), b"BC4U": ("ATI1N", 8), b"BC5U": ("ATI2N", 16)}
+
+
+def dds_sizes(w: int, h: int, depth: int, levels: int, faces: int) -> list[tuple[int, int]]:
+    """Widths and heights of all images in their order: by face then level, or by level then slice of a volume."""
+    levels = max(1, levels)
+    sizes = [(max(1, w >> i), max(1, h >> i)) for i in range(levels)]
+    if depth > 1:
+        return [s for i, s in enumerate(sizes) for _ in range(max(1, depth >> i))]
+    return sizes * max(1, faces)
+
+
+def dds_decode(raw: bytes) -> list[np.ndarray]:
+    """All mip levels, cube faces and slices, the first being the full image."""
+    from tessella.operators.blocks import FORMATS, from_blocks
+
+    _, flags, h, w, _, depth, levels = struct.unpack_from("<IIIIIII", raw, 4)
+    _, kind, code, bits, *masks = struct.unpack_from("<II4sIIIII", raw, 76)
+    caps2 = struct.unpack_from("<I", raw, 112)[0]
+    need(0 < w < 1 << 16 and 0 < h < 1 << 16, "bad size")
+    at, out = 128, []
+    faces = bin(caps2 >> 10 & 63).count("1") if caps2 & 0x200 else 1
+    depth = depth if caps2 & 0x200000 else 1
+    for sw, sh in dds_sizes(w, h, depth, levels if flags & 0x20000 else 1, faces):
+        if kind & 4:
+            need(code in DDS_BLOCKS, "unknown block format")
+            name, size = DDS_BLOCKS[code]
+            n = -(-sw // 4) * -(-sh // 4) * size
+            need(len(raw) >= at + n, "pixels end early")
+            out.append(from_blocks(FORMATS[name][2](np.frombuffer(raw, np.uint8, n, at).reshape(-1, size)), sw, sh))
+        else:
+            need(bits in (8, 16, 24, 32), "unknown pixel size")
+            step = bits // 8
+            n = sw * sh * step
+            need(len(raw) >= at + n, "pixels end early")
+            v = np.frombuffer(raw, np.uint8, n, at).reshape(sh, sw, step).astype(np.int64)
+            v = sum(v[..., k] << (8 * k) for k in range(step))
+            if kind & 0x20000:
+                out.append(from_gray(mask_channel(v, masks[0] or 255).astype(np.uint8)))
+            else:
+                rgb = np.stack([mask_channel(v, m) for m in masks[:3]], 2)
+                out.append(from_rgb(rgb, mask_channel(v, masks[3]) if kind & 1 else None))
+        at += n
+    return out
+
+
+def dds_encode(frames: list[np.ndarray], kind: str | None = None) -> bytes:
+    """Frames as mip levels if each is half the one before, else the first alone. kind: a block format, or plain 32 bits."""
+    from tessella.operators.blocks import FORMATS, to_blocks
+
+    h, w = frames[0].shape[:2]
+    chain = [f for i, f in enumerate(frames) if f.shape[:2] == (max(1, h >> i), max(1, w >> i))]
+    chain = chain if len(chain) == len(frames) else frames[:1]
+    flags = 0x1007 | (0x20000 if len(chain) > 1 else 0)
+    if kind:
+        code = next(c for c, (n, _) in DDS_BLOCKS.items() if n == kind)
+        pixel = struct.pack("<II4sIIIII", 32, 4, code, 0, 0, 0, 0, 0)
+        body = b"".join(FORMATS[kind][1](to_blocks(p)).astype(np.uint8).tobytes() for p in chain)
+    else:
+        pixel = struct.pack("<II4sIIIII", 32, 0x41, bytes(4), 32, 0xFF0000, 0xFF00, 0xFF, 0xFF000000)
+        body = b"".join(p[..., [3, 2, 1, 0]].tobytes() for p in chain)
+    head = struct.pack("<4sIIIIIII", b"DDS ", 124, flags, h, w, 0, 0, len(chain)) + bytes(44) + pixel
+    return head + struct.pack("<IIIII", 0x1000 | (0x400008 if len(chain) > 1 else 0), 0, 0, 0, 0) + body
+
+
+# PSD: the flattened picture
+
+
+def packbits(raw: bytes, at: int, size: int) -> bytes:
+    end, out = at + size, bytearray()
+    while at < end:
+        n = raw[at]
+        at += 1
+        if n < 128:
+            out += raw[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += raw[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+def psd_decode(raw: bytes) -> list[np.ndarray]:
+    channels, h, w, bits, mode = struct.unpack_from(">HIIHH", raw, 12)
+    need(bits in (8, 16) and mode in (1, 2, 3, 4), "unknown mode")
+    at, table = 26, None
+    for k in range(3):
+        size = struct.unpack_from(">I", raw, at)[0]
+        if k == 0 and mode == 2:
+            table = np.frombuffer(raw, np.uint8, 768, at + 4).reshape(3, 256).T
+        at += 4 + size
+    packing, at, line = struct.unpack_from(">H", raw, at)[0], at + 2, w * bits // 8
+    if packing == 1:
+        sizes = struct.unpack_from(f">{channels * h}H", raw, at)
+        at += 2 * channels * h
+        rows = []
+        for n in sizes:
+            rows.append(packbits(raw, at, n)[:line].ljust(line, b"\0"))
+            at += n
+        data = np.frombuffer(b"".join(rows), np.uint8)
+    else:
+        need(packing == 0 and len(raw) >= at + channels * h * line, "pixels end early")
+        data = np.frombuffer(raw, np.uint8, channels * h * line, at)
+    v = data.reshape(channels, h, line)
+    v = v[:, :, ::2] if bits == 16 else v  # the high bytes
+    if mode == 2:
+        return [from_rgb(table[v[0]])]
+    if mode == 1:
+        return [from_gray(v[0], v[1] if channels > 1 else None)]
+    if mode == 3:
+        return [from_rgb(v[:3].transpose(1, 2, 0), v[3] if channels > 3 else None)]
+    ink = 255 - v[:4].astype(int)  # stored inverted
+    rgb = 255 - np.minimum(255, ink[:3] - ink[:3] * ink[3] // 255 + ink[3])
+    return [from_rgb(rgb.transpose(1, 2, 0), v[4] if channels > 4 else None)]
+
+
+def psd_encode(frames: list[np.ndarray]) -> bytes:
+    p = frames[0]
+    h, w = p.shape[:2]
+    return b"8BPS" + struct.pack(">H6xHIIHH", 1, 4, h, w, 8, 3) + bytes(12) + b"\0\0" + p[..., [1, 2, 3, 0]].transpose(2, 0, 1).tobytes()
+
+
+# TIFF: baseline strips, plain or packed
+
+
+def tiff_decode(raw: bytes) -> list[np.ndarray]:
+    order = "<" if raw[:2] == b"II" else ">"
+    kinds = {1: "B", 2: "c", 3: "H", 4: "I"}
+    at, out = struct.unpack_from(f"{order}I", raw, 4)[0], []
+    while at:
+        count = struct.unpack_from(f"{order}H", raw, at)[0]
+        tags = {}
+        for k in range(count):
+            tag, kind, n = struct.unpack_from(f"{order}HHI", raw, at + 2 + 12 * k)
+            if kind in kinds:
+                size = n * struct.calcsize(kinds[kind])
+                place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{order}I", raw, at + 10 + 12 * k)[0]
+                tags[tag] = struct.unpack_from(f"{order}{n}{kinds[kind]}", raw, place)
+        at = struct.unpack_from(f"{order}I", raw, at + 2 + 12 * count)[0]
+        w, h, bits, packing, meaning, parts = (tags.get(t, (d,))[0] for t, d in ((256, 0), (257, 0), (258, 1), (259, 1), (262, 1), (277, 1)))
+        need(packing in (1, 8, 32946, 32773) and bits in (1, 4, 8, 16) and w * h > 0, "unknown kind of strips")
+        data = b"".join(raw[o : o + n] if packing == 1 else zlib.decompress(raw[o : o + n]) if packing != 32773 else packbits(raw, o, n) for o, n in zip(tags[273], tags[279]))
+        line = (w * parts * bits + 7) // 8
+        need(len(data) >= line * h, "pixels end early")
+        rows = np.frombuffer(data, np.uint8, line * h).reshape(h, line)
+        if bits == 16:
+            v = (np.ascontiguousarray(rows).view(f"{order}u2") >> 8).astype(np.uint8)
+        else:
+            v = bits_of(rows, bits, w * parts)
+        v = v.reshape(h, w, parts)
+        if tags.get(317, (1,))[0] == 2 and bits == 8:
+            v = np.cumsum(v, 1, dtype=np.uint8)
+        if meaning == 3:
+            table = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)
+            out.append(from_rgb(table[v[..., 0]]))
+        elif parts >= 3:
+            out.append(from_rgb(v[..., :3], v[..., 3] if parts > 3 else None))
+        else:
+            g = v[..., 0] if bits >= 8 else (v[..., 0].astype(int) * 255 // ((1 << bits) - 1)).astype(np.uint8)
+            out.append(from_gray(255 - g if meaning == 0 else g, v[..., 1] if parts == 2 and bits >= 8 else None))
+    need(bool(out), "no pages")
+    return out
+
+
+def tiff_encode(frames: list[np.ndarray]) -> bytes:
+    """A page for each frame, 32 bits a pixel, zlib."""
+    out, places = bytearray(b"II*\0" + bytes(4)), []
+    before = 4
+    for p in frames:
+        h, w = p.shape[:2]
+        data = zlib.compress(p[..., [1, 2, 3, 0]].tobytes(), 6)
+        strip = len(out)
+        out += data + bytes(len(data) % 2)
+        eights = len(out)
+        out += struct.pack("<4H", 8, 8, 8, 8)
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, eights), (259, 3, 1, 8), (262, 3, 1, 2), (273, 4, 1, strip), (277, 3, 1, 4), (278, 4, 1, h), (279, 4, 1, len(data)), (338, 3, 1, 2)]
+        struct.pack_into("<I", out, before, len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+        before = len(out) - 4
+        places.append(strip)
+    return bytes(out)
+
+
+CODECS[3:3] = [
+    Codec("gif", ("gif",), lambda b: b[:6] in (b"GIF87a", b"GIF89a"), gif_decode, gif_encode, True),
+    Codec("dds", ("dds",), lambda b: b[:4] == b"DDS ", dds_decode, dds_encode, True),
+    Codec("psd", ("psd", "pdd"), lambda b: b[:4] == b"8BPS", psd_decode, psd_encode),
+    Codec("tiff", ("tif", "tiff"), lambda b: b[:4] in (b"II*\0", b"MM\0*"), tiff_decode, tiff_encode, True),
+]
