@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import color
+from tessella import model
+from tessella.functions import color, helpers
 from tessella.operators import analysis, blocks, compose, drawing, frames, geometry, neighborhood, palette, point, resample
 from tessella.plans.fixtures import DUCK, pixels
 
@@ -259,6 +260,54 @@ FACTOR = {"zero": "0", "one": "1", "src_alpha": "s.a", "one_minus_src_alpha": "(
 for s, d in (("one", "zero"), ("zero", "src_color"), ("src_alpha", "one_minus_src_alpha"), ("dst_alpha", "one"), ("one_minus_dst_alpha", "dst_alpha"), ("dst_color", "one_minus_src_color"), ("one_minus_dst_color", "one")):
     add(f"draw_blend_{s}_{d}", "rgba", lambda p, s=s, d=d: compose.blend(p, geometry.mirror(p, **S8), s, d, AT), laid_sql({c: f"s.{c} * {FACTOR[s].format(c=c)} + d.{c} / 255e0 * {FACTOR[d].format(c=c)}" for c in ARGB}), XY + ARGB)
 
+FAST = "(select *, sa + 1 + ((a * (256 - sa)) >> 8) as total from (select d.image_id, d.x, d.y, d.a, d.r, d.g, d.b, s.a as sa, s.r as sr, s.g as sg, s.b as sb from (select image_id, 7 - x as x, y, a, r, g, b from p) d left join (select image_id, x + 2 as x, y - 1 as y, a, r, g, b from p) s using (image_id, x, y)))"
+add("draw_alpha_fast", "rgba", lambda p: compose.over_fast(p, geometry.mirror(p, **S8), AT), "select image_id, x, y, case when sa is null then a else least(255, total) end as a, "
+    + ", ".join(f"case when sa is null then {c} else (s{c} * ((sa * 256) // total) + {c} * (256 - (sa * 256) // total)) >> 8 end as {c}" for c in RGB) + f" from {FAST}", XY + ARGB)
+
+
+def over_table(name: str, table: str, f: Callable, sql: str, ints: list[str], floats: list[str] = (), texts: list[str] = ()) -> None:
+    """A query over a test table itself."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        return made.select(*(F.col(c).cast("long").alias(c) for c in ints), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in floats), *texts)
+
+    _queries[name] = run
+    _sql[name] = "select " + ", ".join([f"cast({c} as bigint) as {c}" for c in ints] + [f"round(cast({c} as double), 6) as {c}" for c in floats] + list(texts)) + f" from ({sql})"
+
+
+over_table("text_helpers", "part", lambda t: t.select(
+    "p_partkey", helpers.mask_match("p_name", "*a?e*").alias("m1"), helpers.mask_match("p_name", "").alias("m2"), helpers.mask_match("p_brand", "brand#1*", True).alias("m3"), helpers.position("p_name", "E", 2, False).alias("place"),
+    helpers.contains_any("p_type", ["STEEL", "TIN"]).alias("has_any"), F.size(helpers.tokens("p_type", " ")).alias("n"), helpers.substring("p_name", 2, 5).alias("part"), helpers.trim_set("p_name", "aeiou").alias("trimmed"),
+    helpers.thousands(F.col("p_partkey") * 1000).alias("number"), helpers.file_extension(F.concat(F.lit("dir/sub/"), "p_name", F.lit(".tar.gz"))).alias("ext"), helpers.file_name(F.concat(F.lit("dir/sub/"), F.col("p_partkey").cast("string"))).alias("base"), helpers.file_folder(F.concat(F.lit("dir/sub/"), F.col("p_partkey").cast("string"))).alias("folder")),
+    """select p_partkey, regexp_matches(p_name, 'a.e', 'i') as m1, true as m2, p_brand like 'brand#1%' as m3, case when strpos(substr(lower(p_name), 2), 'e') > 0 then strpos(substr(lower(p_name), 2), 'e') + 1 else 0 end as place,
+    contains(p_type, 'STEEL') or contains(p_type, 'TIN') as has_any, len(string_split(p_type, ' ')) as n, substr(p_name, 2, 3) as part, trim(p_name, 'aeiou') as trimmed, format('{:,}', p_partkey * 1000) as number, 'gz' as ext, p_partkey::varchar as base, 'dir/sub/' as folder from part""",
+    ["p_partkey", "m1", "m2", "m3", "place", "has_any", "n"], texts=["part", "trimmed", "number", "ext", "base", "folder"])
+over_table("number_helpers", "part", lambda t: t.where("p_partkey > 0").select(
+    "p_partkey", helpers.clamp("p_size", 10, 40).alias("clamped"), helpers.is_power_of_two("p_partkey").alias("is2"), helpers.next_power_of_two("p_partkey").alias("next2"), helpers.floor_log2("p_partkey").alias("log"), helpers.mul_div("p_partkey", F.lit(255), F.lit(7)).alias("md"),
+    helpers.swap_bytes("p_partkey", 2).alias("s2"), helpers.swap_bytes("p_partkey", 4).alias("s4"), helpers.mip_levels("p_partkey", "p_size").alias("mips"), helpers.volume_slices(F.col("p_size").cast("int"), 4).alias("slices"), helpers.same("p_retailprice", F.round("p_retailprice", 3), 0.01).alias("same"), helpers.pixel_size_to_dpi("p_size").alias("dpi")),
+    """select p_partkey, greatest(10, least(40, p_size)) as clamped, bit_count(p_partkey) = 1 as is2, power(2, ceil(log2(p_partkey))) as next2, floor(log2(p_partkey)) as log, p_partkey * 255 // 7 as md,
+    ((p_partkey & 255) << 8) + ((p_partkey >> 8) & 255) as s2, ((p_partkey & 255) << 24) + (((p_partkey >> 8) & 255) << 16) + (((p_partkey >> 16) & 255) << 8) + ((p_partkey >> 24) & 255) as s4,
+    floor(log2(greatest(p_partkey, p_size))) + 1 as mips, p_size + greatest(1, p_size >> 1) + greatest(1, p_size >> 2) + greatest(1, p_size >> 3) as slices, true as same, 25400e0 / p_size as dpi from part where p_partkey > 0""",
+    ["p_partkey", "clamped", "is2", "next2", "log", "md", "s2", "s4", "mips", "slices", "same"], ["dpi"])
+
+
+def rects(t: DataFrame) -> DataFrame:
+    r, by = (F.col("event_id") % 50, F.col("user_id") % 40, F.col("event_id") % 70, F.col("user_id") % 90), (F.lit(10), F.lit(10), F.lit(45), F.lit(60))
+    n = helpers.normalised(r)
+    c, s = helpers.clipped(n, by), helpers.scaled_into(F.col("event_id") % 50 + 1, F.col("user_id") % 40 + 1, F.lit(64), F.lit(48))
+    return t.select("event_id", *(v.alias(k) for k, v in zip(("n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4"), (*n, *c))), helpers.within(n, by).alias("inside"), helpers.touches(n, by).alias("touch"), s[0].alias("w"), s[1].alias("h"))
+
+
+over_table("rect_helpers", "events", rects, """select event_id, n1, n2, n3, n4, greatest(n1, 10) as c1, greatest(n2, 10) as c2, greatest(n1, 10, least(n3, 45)) as c3, greatest(n2, 10, least(n4, 60)) as c4,
+    n1 >= 10 and n2 >= 10 and n3 <= 45 and n4 <= 60 as inside, n1 <= 45 and n3 >= 10 and n2 <= 60 and n4 >= 10 as touch,
+    case when 64 * b < 48 * a then 64 else (48 * a) // b end as w, case when 64 * b < 48 * a then (64 * b) // a else 48 end as h
+    from (select event_id, least(event_id % 50, event_id % 70) as n1, least(user_id % 40, user_id % 90) as n2, greatest(event_id % 50, event_id % 70) as n3, greatest(user_id % 40, user_id % 90) as n4, event_id % 50 + 1 as a, user_id % 40 + 1 as b from events)""",
+    ["event_id", "n1", "n2", "n3", "n4", "c1", "c2", "c3", "c4", "inside", "touch", "w", "h"])
+SIZES = ", ".join(f"('{n}', '{k}', {b})" for n, k, b, _, _ in model.FORMATS)
+over_table("format_sizes", "nation", lambda t: model.pixels_size(model.formats(t.sparkSession).crossJoin(t.select((F.col("n_nationkey") + 1).alias("width"), (F.col("n_nationkey") * 3 + 2).alias("height")))).withColumnRenamed("size", "n"),
+    f"select f as name, width, height, case k when 'block' then ((width + 3) // 4) * ((height + 3) // 4) * b when 'bits' then ((width + 7) // 8) * height else width * height * b end as n from (values {SIZES}) v(f, k, b) cross join (select n_nationkey + 1 as width, n_nationkey * 3 + 2 as height from nation)", ["width", "height", "n"], texts=["name"])
+
 # frames
 FRAMES = "(select image_id // 5 as image_id, image_id % 5 as frame_idx, x, y, g from p)"
 FR = ["image_id", "frame_idx", "x", "y", "g"]
