@@ -13,8 +13,8 @@ SPARK = {
         from (select vec_id, embedding, explode(sequence(1, 64)) i from embeddings)""",
     "events": "select 0 image_id, cast(event_id % 100 as int) x, cast(event_id div 100 as int) y, 255 a, cast(least(255, greatest(0, floor(value*255/500))) as int) r, cast(user_id % 256 as int) g, length(event_type)*16 b from events",
     "heat": "select 0 image_id, l_linenumber-1 x, l_orderkey y, 255 a, cast(least(255, sum(l_quantity)) as int) r, 0 g, cast(count(*) as int) b from lineitem group by l_linenumber, l_orderkey",
-    "doc": """select doc_id image_id, (p-1)%32 x, cast((p-1) div 32 as int) y, 255 a, ascii(substring(text,p,1)) % 256 r, 0 g, 0 b
-        from (select doc_id, text, explode(sequence(1, least(1024, cast(n_chars as int)))) p from documents where n_chars > 0)""",
+    "doc": """select doc_id image_id, p % 32 x, cast(p div 32 as int) y, 255 a, ascii(c) % 256 r, 0 g, 0 b
+        from (select doc_id, posexplode(slice(split(substring(text, 1, 1024), ''), 1, cast(least(1024, n_chars) as int))) as (p, c) from documents where n_chars > 0)""",
     "palette": "select n_nationkey idx, 255 a, (n_nationkey*37)%256 r, (n_nationkey*91+17)%256 g, (n_nationkey*151+5)%256 b from nation",
 }
 TABLES = {"gray": "embeddings", "rgba": "embeddings", "events": "events", "heat": "lineitem", "doc": "documents", "palette": "nation"}
