@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import WORD_SPLIT, materialise
 
 #: Production parameters. PART of a group's documents, the nearer ones, makes its estimates (CONSISTENCY scales the
-#: covariance of that part to that of a normal population, for four dimensions); STEPS concentration steps; a group of
-#: fewer than SMALLEST documents takes the estimates of its language, or of all.
-PART, CONSISTENCY, STEPS, SMALLEST, CUTOFF = 0.75, 1.486, 3, 60, 45.0
+#: covariance of that part to that of a normal population, for four dimensions), so that nearly as many may be outliers;
+#: STEPS concentration steps; a group of fewer than SMALLEST documents takes the estimates of its language, or of all.
+PART, CONSISTENCY, STEPS, SMALLEST, CUTOFF = 0.5, 2.109, 3, 60, 45.0
+#: Most that the quartiles' spread may exceed that of the median distances at the start.
+STRETCH = 1.5
 #: Least variance by component, so that a component that is constant in a group doesn't make every other value an outlier.
 FLOORS = [0.09, 0.01, 0.25, 0.01]
 #: Groups whose estimates are broadcast; beyond it they are joined by key, with skewed keys split.
@@ -123,9 +125,13 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFra
     needed = materialise(chosen.select(F.col("_to").alias("_group")).distinct(), "needed", small=True)
     own = placed.where(~F.col("_group").startswith('{"level":1') & ~F.col("_group").startswith('{"level":0'))
     sample = own.unionByName(with_groups(lent, needed))
-    # start: robust distances by component
-    middle = sample.groupBy("_group").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in P))
-    middle = materialise(middle.select("_group", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in P), *(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i] ** 0.5)).alias(f"l{i}{i}") for i in P), *(F.lit(0.0).alias(f"l{i}{j}") for i in P for j in range(i))), "estimates", small=True)
+    # start: robust distances by component. The quartiles' distance gives the spread, unless outliers on one side (more than
+    # a quarter) stretch it far beyond the median distance from the median, which fewer than half can't move
+    centre = sample.groupBy("_group").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in P))
+    centre = materialise(centre.select("_group", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in P), *((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]).alias(f"w{i}") for i in P)), "centres", small=True)
+    away = with_groups(sample, centre).groupBy("_group").agg(*(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in P))
+    spread = [F.greatest(F.least(F.col(f"w{i}") / 1.349, F.col(f"a{i}") * 1.4826 * STRETCH), F.lit(FLOORS[i] ** 0.5)).alias(f"l{i}{i}") for i in P]
+    middle = materialise(centre.join(away, "_group").select("_group", *(f"m{i}" for i in P), *spread, *(F.lit(0.0).alias(f"l{i}{j}") for i in P for j in range(i))), "estimates", small=True)
     for _ in range(STEPS):
         measured = with_groups(sample, middle).select("_group", *(f"x{i}" for i in P), distance().alias("d"))
         limit = materialise(measured.groupBy("_group").agg(F.percentile_approx("d", PART, 10_000).alias("limit")), "limits", small=True)

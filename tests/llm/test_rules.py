@@ -86,3 +86,20 @@ def test_query_keeps_clean_documents(spark):
     held = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(~F.col("base_failed"))
     by = {r.quality: r.kept for r in held.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     assert by[1] == 1 and by[0] < 0.6
+
+
+STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, source string"
+
+
+def clean_rows(rng, n):
+    words = rng.integers(60, 3000, n)
+    return [(i, int(w), int(w * rng.normal(5, 0.2)), 0, 0, int(w // rng.integers(20, 60)), False, "en", "s") for i, w in enumerate(words)]
+
+
+def test_a_third_of_bad_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = clean_rows(rng, 200) + [(1000 + i, 400, 3100, 1100, 0, 0, False, "en", "s") for i in range(100)]
+    stats = spark.createDataFrame(rows, STATS)
+    got = {r.doc_id: r.kept for r in rules.judge(stats, rules.fit(stats)).collect()}
+    assert not any(k for i, k in got.items() if i >= 1000)
+    assert sum(k for i, k in got.items() if i < 1000) >= 198
