@@ -20,7 +20,8 @@ PART, CONSISTENCY, STEPS, SMALLEST, CUTOFF = 0.5, 2.109, 3, 60, 45.0
 #: Most that the quartiles' spread may exceed that of the median distances at the start.
 STRETCH = 1.5
 #: Least variance by component, so that a component that is constant in a group doesn't make every other value an outlier.
-FLOORS = [0.09, 0.01, 0.25, 0.01]
+#: That of symbols is two a hundred words, so that a group without any rejects a symbol at every third word.
+FLOORS = [0.09, 0.01, 0.04, 0.01]
 #: Groups whose estimates are broadcast; beyond it they are joined by key, with skewed keys split.
 BROADCAST_GROUPS = 20_000
 #: Characters that count as symbols.

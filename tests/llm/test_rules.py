@@ -103,3 +103,12 @@ def test_a_third_of_bad_copies(spark):
     got = {r.doc_id: r.kept for r in rules.judge(stats, rules.fit(stats)).collect()}
     assert not any(k for i, k in got.items() if i >= 1000)
     assert sum(k for i, k in got.items() if i < 1000) >= 198
+
+
+def test_symbols_at_every_second_word(spark):
+    rng = np.random.default_rng(6)
+    rows = clean_rows(rng, 200) + [(1000 + i, 300, 1260, 105 + 5 * i, 0, 0, False, "en", "s") for i in range(10)]
+    stats = spark.createDataFrame(rows, STATS)
+    got = {r.doc_id: r.kept for r in rules.judge(stats, rules.fit(stats)).collect()}
+    assert not any(k for i, k in got.items() if i >= 1000)
+    assert sum(k for i, k in got.items() if i < 1000) >= 198
