@@ -252,8 +252,14 @@ def open_links(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weights: str = "set") -> DataFrame:
-    """(doc_id, _key, class_id) for every row: class_id is the smallest doc_id of all texts that links connect.
+def near_duplicates(documents: DataFrame, **how) -> DataFrame:
+    """(doc_id, _key, class_id) for every row, as `judged` finds them."""
+    return judged(documents, **how).drop("_best")
+
+
+def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weights: str = "set") -> DataFrame:
+    """(doc_id, _key, class_id, _best) for every row: class_id is the smallest doc_id of all texts that links connect;
+    _best: the row has that id, and of the class's texts with it the one with the smallest key.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`. Equal texts share
     a key (the MD5 of the text) and are one node. In each band bucket all texts are first compared with the one that
@@ -285,19 +291,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         classes = components(links.union(more))
     named = texts.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "_first", F.coalesce("root", "_key").alias("root"))
     named = materialise(named, "named", small=True)
-    smallest = named.groupBy("root").agg(F.min("_first").alias("class_id"))
-    by_text = named.join(smallest, "root").select("_key", "class_id")
-    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id")
+    smallest = named.groupBy("root").agg(F.min(F.struct(F.col("_first").isNull(), "_first", F.col("_key").alias("k"))).alias("c"))
+    by_text = named.join(smallest, "root").select("_key", F.col("c._first").alias("class_id"), (F.col("_key") == F.col("c.k")).alias("_best"))
+    best = F.col("_best") & F.col("_id").eqNullSafe(F.col("class_id"))
+    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id", best.alias("_best"))
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
-    """documents without near duplicates: of each class the document with the smallest doc_id, all its columns; of
-    rows that repeat with id and text, one. A class of null ids only keeps one row of each of its different texts."""
-    kept = near_duplicates(documents, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).distinct()
+    """documents without near duplicates: of each class one document, all its columns: that with the smallest doc_id (null
+    last), of different texts with it the one with the smallest key, of rows that repeat with id and text any."""
+    kept = judged(documents, **how).where("_best").select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).distinct()
     keyed = documents.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     return keyed.join(kept, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return classes.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classes = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes.select("doc_id", "class_id", F.col("_best").alias("kept"))

@@ -105,3 +105,12 @@ def test_query(spark):
     got = minhash.op8_minhash_near_dedup(spark, sf).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == sorted(brute(rows))
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    near = [" ".join(f"{p}{i}" for i in range(200)) for p in ("a", "b")]
+    rows = [(1, near[0]), (1, near[0] + " end"), (2, near[0]), (None, near[1]), (None, near[1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.one_of_each(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "None"]
+    assert {r.text.split()[0] for r in kept} == {"a0", "b0"}
