@@ -36,6 +36,8 @@ def add(name: str, fixture: str, f: Callable, sql: str | None, ints: list[str],
         made = ", ".join([f"cast({c} as bigint) as {c}" for c in ints] + [f"round(cast({c} as double), 6) as {c}" for c in floats])
         more = f", q as ({DUCK[second]})" if second else ""
         _sql[name] = f"with p as ({DUCK[fixture]}){more} select {made} from ({sql})"
+    if fixture == "doc":  # the same over every character; its SQL is checked on a small table only
+        add(f"{name}_whole", "whole_doc", f, None, ints, floats)
 
 
 def c8(e: str, top: int = 255) -> str:
