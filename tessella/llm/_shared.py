@@ -16,13 +16,19 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Where neither is set, a local session (tests) gets a folder of its own; on a cluster that is an error, as a folder of
+    one machine isn't shared."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)  # a path without a scheme lies on the default file system
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -70,17 +76,19 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int, doc_id: str = "doc_id", text: str = "text", folds: int = 5) -> list[tuple[str, int]]:
-    """At most `rows` (text, label) pairs for fitting, from labelled documents outside the held-out fold.
+    """(text, label) pairs of at most `rows` ids for fitting, from labelled documents outside the held-out fold.
 
     The ids are those with the smallest hashes, so the choice doesn't depend on partitioning. Null ids and labels
-    are left out; an id labelled more than once counts with its largest label; a null text is an empty one."""
+    are left out; an id labelled more than once counts with its largest label, one that several rows have with the
+    smallest and the largest of their texts; a null text is an empty one. So the driver gets 2 `rows` whole texts at most."""
     picked = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id, folds))
         .groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
     found = documents.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # `rows` ids at most
-    return [(t, int(y)) for _, t, y in sorted((r["_id"], r["_text"], r["_label"]) for r in found.select("_id", "_text", "_label").collect())]
+    two_each = found.groupBy("_id", "_label").agg(F.min("_text").alias("low"), F.max("_text").alias("high"), F.count("*").alias("n"))
+    return [(t, int(r["_label"])) for r in sorted(two_each.collect(), key=lambda r: r["_id"]) for t in (r["low"], r["high"])[: r["n"]]]
 
 
 # Vectorised words and hashes over the bytes of many texts.

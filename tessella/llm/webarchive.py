@@ -26,13 +26,28 @@ from tessella.llm._shared import materialise, new_folder, sub_batches
 #: Production parameters: payload bytes from which equal ones are revisited, records in an index block, bytes of an
 #: archive file, gzip level. DATE stands for the time of capture, which the pages don't have.
 LEAST, BLOCK_LINES, FILE_BYTES, LEVEL, DATE = 100, 1000, 1 << 30, 6, "1970-01-01T00:00:00Z"
+#: Payloads of more than HOT pages are joined by broadcast, if there are at most MOST_HOT of them.
+HOT, MOST_HOT = 10_000, 200_000
+#: Schemes of Hadoop's file systems under the names that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def file_system(folder: str):
-    """(pyarrow file system, path in it) of a folder given as a path or a URI."""
+    """(pyarrow file system, path in it) of a folder given as a URI, or as a path of this machine.
+
+    Folders from `new_folder` are URIs of the file system that Spark's own writes go to. A scheme that pyarrow doesn't
+    know raises an error, on the driver before any work."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    scheme, colon, rest = folder.partition(":")
+    if folder.startswith("/"):
+        return fs.LocalFileSystem(), folder
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+    except (pa.ArrowInvalid, OSError) as e:
+        raise ValueError(f"archives can't be written to {folder}: no file system for {scheme}") from e
 
 
 def partitions(df: DataFrame) -> int:
@@ -42,13 +57,13 @@ def partitions(df: DataFrame) -> int:
 
 
 def capture_key(url: str = "url", page_id: str = "page_id") -> Column:
-    """`com,example,www)/path?query 00000000000000000007`: control characters and spaces of the URL as %20.
+    """`com,example,www)/path?query 00000000000000000007`: control characters and spaces of host, path and query as %20.
 
     A URL without :// counts as a path without a host, a null one as empty; a null id as `null`."""
     text = F.coalesce(F.col(url), F.lit(""))
     host = F.lower(F.regexp_extract(text, r"^[^/?#]*?://([^/?#]*)", 1))
     rest = F.regexp_replace(text, r"^[^/?#]*?://[^/?#]*", "")
-    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"[\x00-\x20\x7f]", "%20"))
+    key = F.regexp_replace(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest), r"[\x00-\x20\x7f]", "%20")
     return F.concat(key, F.lit(" "), F.coalesce(F.lpad(F.col(page_id).cast("string"), 20, "0"), F.lit("null")))
 
 
@@ -75,16 +90,25 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with _digest, _first (the response's id) and _revisit.
+    """pages (page_id, url, html) with _digest, _first (the response's id, of a revisit only) and _revisit.
 
     Of the pages with equal payloads of at least `least` bytes, the smallest id (nulls aside) is the response; rows that repeat
-    its id are responses as well. Payloads that occur once take no part; a payload of a third of all pages meets one row
-    of the other side, so the join can be split."""
+    its id are responses as well. Which pages revisit others is found on ids and digests alone; digests of very many pages
+    meet by broadcast, so that a payload of a third of all pages isn't gathered. Payloads are shuffled once, by page."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("_digest"), (F.octet_length(body) >= least).alias("_long"))
-    first = pages.where("_long").groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
-    out = pages.join(first.drop("_n"), "_digest", "left")
-    return out.withColumn("_revisit", F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))).drop("_long")
+    digested = pages.select("page_id", "url", "html", F.sha2(body, 256).alias("_digest"), F.octet_length(body).alias("_bytes"))
+    long_ones = materialise(digested.where(F.col("_bytes") >= least).select("page_id", "_digest"), "digests")
+    first = long_ones.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
+    first = materialise(first, "responses", small=True)
+    hot, cold = first.where(F.col("_n") > HOT), first
+    parts = []
+    if 0 < hot.limit(MOST_HOT + 1).count() <= MOST_HOT:  # rows of 80 bytes
+        parts, cold = [long_ones.join(F.broadcast(hot), "_digest")], first.where(F.col("_n") <= HOT)
+    parts.append(long_ones.join(cold, "_digest"))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    revisits = found.where(~F.col("page_id").eqNullSafe(F.col("_first"))).select(F.col("page_id").alias("_page"), F.col("_digest").alias("_of"), "_first").distinct()
+    out = digested.join(revisits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("_of")), "left")
+    return out.select("page_id", "url", "html", "_digest", "_first", F.col("_first").isNotNull().alias("_revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -114,9 +138,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int
             if out:
                 out.close()
 
-    # few and large archives: a file is open as long as its task runs
-    tasks = 4 * pages.sparkSession.sparkContext.defaultParallelism
-    return materialise(records.coalesce(tasks).mapInArrow(run, "key string, file string, offset long, length long"), "captures", small=True)
+    # an archive or more for each partition of the shuffle, which are put together by size
+    file_system(folder)
+    return materialise(records.mapInArrow(run, "key string, file string, offset long, length long"), "captures")
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[bytes, str, int, int]]:

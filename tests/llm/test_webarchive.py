@@ -97,3 +97,30 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted(map(tuple, w.op1_warc(spark, sf).collect())) == sorted(brute(rows))
+
+
+def test_control_characters_anywhere(spark, tmp_path):
+    """No page is lost by a character that index lines are split at."""
+    marks = [chr(c) for c in [*range(1, 33), 127, 0x85, 0x2028]]
+    rows = [(3 * i + k, u.replace("*", m), f"p{i}") for i, m in enumerate(marks) for k, u in enumerate(("http://exa*mple.com/x", "http://h.org/a*b", "http://h.org/?q=*"))]
+    folder, top, pages = run(spark, rows, tmp_path, block_lines=4)
+    found = w.lookup(pages.select(w.capture_key().alias("key")), folder, top).collect()
+    assert sorted(r.record_id for r in found) == sorted(f"<urn:page:{i}>" for i, _, _ in rows)
+    assert {r.record_id: bytes(r.payload).decode() for r in found} == {f"<urn:page:{i}>": h for i, _, h in rows}
+
+
+def test_hot_payload_takes_the_broadcast_way(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(w, "HOT", 3)
+    rows = [(i, f"http://a.com/{i}", "hot " * 40 if i % 3 else f"own {i} " * 30 if i % 2 else "few " * 40) for i in range(1, 60)][:40]
+    rows += [(50, "http://a.com/f", "two " * 40), (51, "http://a.com/g", "two " * 40), (51, "http://a.com/g", "two " * 40)]
+    got = w.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {(i, t): to for i, _, _, t, to in brute(rows)}
+    assert len(got) == len(rows) and all(r._first == want[r.page_id, "revisit" if r._revisit else "response"] for r in got)
+
+
+def test_folders():
+    import pytest
+
+    assert w.file_system("file:/tmp/x")[1] == w.file_system("file:///tmp/x")[1] == w.file_system("/tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        w.file_system("viewfs://in/x")
