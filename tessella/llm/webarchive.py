@@ -264,6 +264,7 @@ def page_of(record_id: str) -> Column:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every page, read back from the archives through the index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = new_folder(spark, "warc")
     top = build_index(write_archives(pages, folder), folder)
