@@ -112,3 +112,83 @@ def test_symbols_at_every_second_word(spark):
     got = {r.doc_id: r.kept for r in rules.judge(stats, rules.fit(stats)).collect()}
     assert not any(k for i, k in got.items() if i >= 1000)
     assert sum(k for i, k in got.items() if i < 1000) >= 198
+
+
+def production_by_hand(x):
+    """Starts, steps, choice by determinant and the last estimate in numpy for one group."""
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    m = q[1]
+    away = np.quantile(np.abs(x - m), 0.5, axis=0, method="inverted_cdf") * 1.4826 * rules.STRETCH
+    s = np.maximum(np.minimum((q[2] - q[0]) / 1.349, away), np.sqrt(rules.FLOORS))
+    z = (x - m) / s
+    norm = np.sqrt((z**2).sum(1, keepdims=True))
+    shape = lambda v: np.cov(v.T, bias=True) + np.diag(rules.FLOORS)
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def step(m, c):
+        d = dist(m, c)
+        near = x[d <= np.quantile(d, rules.PART, method="inverted_cdf")]
+        return near.mean(0), shape(near) + (rules.CONSISTENCY - 1) * np.cov(near.T, bias=True)
+
+    found = []
+    for c in (np.diag(s**2), shape(s * np.tanh(z)), shape(2 * s * np.divide(z, norm, where=norm > 0, out=np.zeros_like(z)))):
+        at = (m, c)
+        for _ in range(rules.STEPS):
+            at = step(*at)
+        found.append((np.linalg.slogdet(at[1])[1], len(found), at))
+    low, _, best = min(found, key=lambda f: f[:2])
+    for _ in range(rules.MORE):
+        after = step(*best)
+        now = np.linalg.slogdet(after[1])[1]
+        if now < low:
+            fell, low, best = low - now, now, after
+            if fell > rules.STILL:
+                continue
+        break
+    near = x[dist(*best) <= rules.chi_square_quantile(rules.OUTSIDE)]
+    return dist(near.mean(0), shape(near))
+
+
+def test_competing_starts_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    rows = clean_rows(rng, 300) + [(1000 + i, 400, 3100, 1100, 0, 0, False, "en", "s") for i in range(150)]
+    rows += [(2000 + i, int(w), int(w * 5), int(w // 90), 0, int(w // 8), False, "en", "s") for i, w in enumerate(rng.integers(60, 900, 20))]
+    stats = spark.createDataFrame(rows, STATS)
+    x = np.array([[r[f"x{i}"] for i in range(4)] for r in stats.select(*(c.alias(f"x{i}") for i, c in enumerate(rules.vector()))).collect()])
+    got = {r.doc_id: r for r in rules.judge(stats, rules.production_fit(stats)).collect()}
+    for r, d in zip(rows, production_by_hand(x)):
+        assert got[r[0]].distance == pytest.approx(d, rel=1e-6)
+    assert not any(r.kept for i, r in got.items() if 1000 <= i < 2000)
+    assert sum(r.kept for i, r in got.items() if i < 1000) >= 297
+
+
+def test_chi_square_quantile():
+    assert rules.chi_square_quantile(0.025) == pytest.approx(11.1433, abs=1e-3) and rules.chi_square_quantile(0.001) == pytest.approx(18.4668, abs=1e-3)
+
+
+def test_columns_with_internal_names_pass_through(spark):
+    names = ["_row", "_text", "_words", "_hashes", "_placed", "_lines", "_group", "_", "x0", "m0", "l00", "d", "limit", "start"]
+    good = "".join(f"w{i} " for i in range(80))
+    docs = spark.createDataFrame([(i, good + f"x{i}", "en", "s", *range(len(names))) for i in range(70)], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` int' for n in names)}")
+    stats = rules.materialise(rules.statistics(docs), "stats")
+    out = rules.judge(stats, rules.production_fit(stats)).collect()
+    assert len(out) == 70 and all([r[n] for n in names] == list(range(len(names))) and r.n_words == 81 for r in out)
+    # the results' own names are replaced
+    again = rules.statistics(docs.withColumns({"n_words": F.lit(-1), "kept": F.lit(-1)}).drop("_row"))
+    assert again.columns.count("n_words") == 1 and {r.n_words for r in again.collect()} == {81}
+    kept = rules.good_documents(docs.drop("_row"))
+    assert kept.columns == [c for c in docs.columns if c != "_row"] and all(r.x0 == names.index("x0") for r in kept.collect())
+
+
+def test_base_sql(spark):
+    import duckdb
+
+    rng = random.Random(3)
+    texts = [None, "", " \n", "a b c a b c", "é #x\x0b\x0c\r\ny | <z>\x85\xa0q", "l\nl\r\nl\n l", "w " * 200]
+    texts += ["".join(rng.choices(["a", "b", "c ", " ", "\n", "#", "a b c ", "zz\n"], k=rng.randint(1, 200))) for _ in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    names = ["doc_id", *COLUMNS]
+    want = con.sql(f"select {', '.join(names)} from ({rules.OP9_BASE_SQL})").fetchall()
+    assert sorted(want) == sorted(tuple(r[n] for n in names) for r in rules.statistics(frame).collect())
