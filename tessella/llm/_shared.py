@@ -56,6 +56,25 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return id_crc(doc_id) % folds == 0
 
 
+#: DuckDB SQL of a table `folded` (s, code): the crc32 of every document's id as text, a null id being empty text.
+FOLDED_SQL = """recursive crc(k, i, c) as (
+  select k, 0, k from range(256) t(k)
+  union all select k, i + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where i < 8),
+crc_table as (select list(c order by k) as t from crc where i = 8),
+ids as (select distinct coalesce(cast(doc_id as varchar), '') as s from documents),
+folded as (
+  select s, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: cast(ascii(s[i]) as bigint))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as code from ids, crc_table)"""
+HELD_OUT_SQL = f"with {FOLDED_SQL} select doc_id, code % 5 = 0 as held_out from documents join folded on s = coalesce(cast(doc_id as varchar), '')"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that no column of df is called so."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def sub_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about max_bytes (of a list, elements) of `column` or a single row; bounds a worker's memory."""
     import pyarrow.compute as pc
