@@ -177,11 +177,18 @@ def sets_of(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.mapInArrow(run, "_key binary, _set binary")
 
 
+#: Pairs of one text that meet its shingle set in a task; a text with more partners has its set copied.
+PARTNERS = 10_000
+
+
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b) of text keys whose shingle sets have a Jaccard similarity of at least `least`, exactly.
 
-    sets: (_key, _set). A pair's sets meet in the row of the pair, so a text with very many partners isn't gathered."""
-    first, second = (sets.select(F.col("_key").alias(c), F.col("_set").alias(f"set_{c}")) for c in "ab")
+    pairs: (a, b, n), n the number of partners that a may have. sets: (_key, _set). A pair's sets meet in the row of the pair, and
+    the pairs of a text with very many partners are dealt into parts of PARTNERS, each with a copy of its set."""
+    second = sets.select(F.col("_key").alias("b"), F.col("_set").alias("set_b"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PARTNERS)).cast("int").alias("part"))
+    first = dealt.select("a", "part").distinct().join(sets.select(F.col("_key").alias("a"), F.col("_set").alias("set_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,30 +199,27 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (p.size + q.size - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
-
+    return dealt.join(first, ["a", "part"]).join(second, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
-def block_links(keys: list[bytes], roots: list[bytes], outside: np.ndarray, left: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[bytes, bytes]]:
-    """Links between rows of different classes, one row being `outside` its bucket's largest class: enough of them to connect
-    all classes that such links connect. left: the part of each row; two parts are compared with each other only.
 
-    For each row outside, the postings of its shingles count what it shares with every row."""
+def block_links(keys: list[bytes], roots: list[bytes], asks: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[bytes, bytes]]:
+    """Links between rows that ask and rows that don't, of different classes: enough of them to connect all classes that such
+    links connect. For each row that asks, the postings of its shingles count what it shares with every other row."""
     sizes = np.array([x.size for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(column, kind="stable")
+    other = np.flatnonzero(~asks[owner])  # postings are of the rows that are asked
+    order = other[np.argsort(column[other], kind="stable")]
     posted, bounds = owner[order], np.searchsorted(column[order], np.arange(values.size + 1))
-    starts, two = np.cumsum(sizes) - sizes, left.any() and not left.all()
+    starts = np.cumsum(sizes) - sizes
     names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     label, found = np.array([names[r] for r in roots]), []
-    for i in np.flatnonzero(outside).tolist():
+    for i in np.flatnonzero(asks).tolist():
         own = column[starts[i] : starts[i] + sizes[i]]
         length = bounds[own + 1] - bounds[own]
         at = np.repeat(bounds[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())
         shared = np.bincount(posted[at], minlength=len(sets))
-        linked = (shared >= least * (sizes + sizes[i] - shared)) & (label != label[i])
-        if two:
-            linked &= left != left[i]
+        linked = ~asks & (shared >= least * (sizes + sizes[i] - shared)) & (label != label[i])
         for j in np.flatnonzero(linked).tolist():
             if label[i] != label[j]:
                 found.append((keys[i], keys[j]))
@@ -230,23 +234,24 @@ BLOCK = 1_000_000
 def open_links(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between texts of a bucket that aren't in one class, one of them outside its largest class.
 
-    member: (band, _key, _size, root). A bucket is dealt by hash into blocks of about BLOCK shingles, and every two blocks are
-    compared in a task of their own that gives back links only, no pairs."""
+    member: (band, _key, _size, root). All texts of a bucket are dealt by hash into blocks of about BLOCK shingles, and those
+    outside its largest class into blocks that ask. Each pair of an asking block and a block is compared in a task
+    of its own that gives back links only, no pairs. So a large class with few texts beside it is copied once."""
     counted = member.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("_size").alias("s"))
-    largest = counted.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes"), F.sum("s").alias("s")).where("classes > 1")
-    mixed = member.join(largest.select("band", F.col("top.root").alias("top"), F.ceil(F.col("s") / BLOCK).cast("int").alias("blocks")), "band")
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("_key"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = mixed.select("band", "_key", "root", (F.col("root") != F.col("top")).alias("outside"), "block", other)
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "_key", "root", "outside", "block").join(sets, "_key")
-
-    def run(group: tuple, table: pa.Table) -> pa.Table:
-        _, i, j = (x.as_py() for x in group)
-        block = table.column("block").to_numpy()
-        found = block_links(
-            table.column("_key").to_pylist(), table.column("root").to_pylist(), table.column("outside").to_numpy(),
-            block == i if i != j else np.zeros(len(block), bool), [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()], least,
-        )
+    top = F.max(F.struct("n", "root", "s")).alias("top")
+    largest = counted.groupBy("band").agg(top, F.count("*").alias("classes"), F.sum("s").alias("s")).where("classes > 1")
+    blocks = lambda size: F.ceil(size / BLOCK).cast("int")
+    largest = largest.select("band", F.col("top.root").alias("top"), blocks(F.col("s")).alias("blocks"), blocks(F.col("s") - F.col("top.s")).alias("asking"))
+    mixed = member.join(largest, "band").withColumn("hash", F.xxhash64("_key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.col("hash"), F.col(n)).cast("int")
+    asks = mixed.where("root != top").select("band", of("asking").alias("i"), every("blocks").alias("j"), "_key", "root", F.lit(True).alias("asks"))
+    asked = mixed.select("band", every("asking").alias("i"), of("blocks").alias("j"), "_key", "root", F.lit(False).alias("asks"))
+    dealt = asks.unionByName(asked).join(sets, "_key")
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = (table.column(c).to_pylist() for c in ("_key", "root"))
+        found = block_links(*lists, table.column("asks").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()], least)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
     return dealt.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
@@ -254,12 +259,14 @@ def open_links(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, **how) -> DataFrame:
     """(doc_id, _key, class_id) for every row, as `judged` finds them."""
-    return judged(documents, **how).drop("_best")
+    return judged(documents, **how).drop("_best", "n_links", "linked_to")
 
 
 def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weights: str = "set") -> DataFrame:
-    """(doc_id, _key, class_id, _best) for every row: class_id is the smallest doc_id of all texts that links connect;
-    _best: the row has that id, and of the class's texts with it the one with the smallest key.
+    """(doc_id, _key, class_id, _best, n_links, linked_to) for every row: class_id is the smallest doc_id of all texts that
+    links connect; _best: the row has that id, and of the class's texts with it the one with the smallest key; n_links:
+    verified links of its text to different texts, of which as many are found as connect the class; linked_to: the smallest
+    doc_id of those texts (null without links).
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`. Equal texts share
     a key (the MD5 of the text) and are one node. In each band bucket all texts are first compared with the one that
@@ -274,37 +281,43 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     # one row of each text stands for it; of repeated rows, any
     reps = sketches.withColumnRenamed("_key", "_k").join(texts, (F.col("_k") == F.col("_key")) & F.col("_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
     entries = reps.select("_key", "_size", F.explode("_bands").alias("band"))
-    centres = entries.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c")
+    centres = entries.groupBy("band").agg(F.min(F.struct("_key", "_size")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", "c", "n")
     shared = materialise(entries.join(centres, "band"), "buckets")
     # the shingle sets of all texts that share a bucket; the plan is the same at every size
     wanted = shared.select(F.col("_key").alias("_k")).distinct().join(texts.withColumnRenamed("_key", "_k"), "_k")
     found = docs.join(wanted.hint("merge"), (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
     sets = materialise(sets_of(found, words).dropDuplicates(["_key"]), "sets")
     stars = shared.where(f"_key != c._key and least(_size, c._size) >= {least} * greatest(_size, c._size)")
-    pairs = stars.select(F.col("c._key").alias("a"), F.col("_key").alias("b")).distinct()
+    pairs = stars.groupBy(F.col("c._key").alias("a"), F.col("_key").alias("b")).agg(F.sum("n").alias("n"))
     links = materialise(similar(pairs, sets, least), "links", small=True)
     classes = components(links)
     # what the stars leave open
     member = shared.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("band", "_key", "_size", F.coalesce("root", "_key").alias("root"))
     more = materialise(open_links(materialise(member, "members"), sets, least), "links", small=True)
     if not more.isEmpty():
-        classes = components(links.union(more))
+        links = links.union(more)
+        classes = components(links)
     named = texts.join(classes.withColumnRenamed("node", "_key"), "_key", "left").select("_key", "_first", F.coalesce("root", "_key").alias("root"))
     named = materialise(named, "named", small=True)
     smallest = named.groupBy("root").agg(F.min(F.struct(F.col("_first").isNull(), "_first", F.col("_key").alias("k"))).alias("c"))
     by_text = named.join(smallest, "root").select("_key", F.col("c._first").alias("class_id"), (F.col("_key") == F.col("c.k")).alias("_best"))
+    ends = links.select("a", "b").union(links.select("b", "a")).distinct().join(texts.select(F.col("_key").alias("b"), "_first"), "b")
+    degrees = ends.groupBy(F.col("a").alias("_key")).agg(F.count("*").alias("n_links"), F.min("_first").alias("linked_to"))
+    by_text = by_text.join(degrees, "_key", "left")
     best = F.col("_best") & F.col("_id").eqNullSafe(F.col("class_id"))
-    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id", best.alias("_best"))
+    n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
+    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id", best.alias("_best"), n_links, "linked_to")
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
-    """documents without near duplicates: of each class one document, all its columns: that with the smallest doc_id (null
-    last), of different texts with it the one with the smallest key, of rows that repeat with id and text any."""
+    """documents without near duplicates: of each class one document, all its columns, whatever their names: that with the
+    smallest doc_id (null last), of different texts with it the one with the smallest key, of rows that repeat with id and text any."""
     kept = judged(documents, **how).where("_best").select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).distinct()
-    keyed = documents.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    return keyed.join(kept, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_key"))
+    return keyed.join(kept, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi").dropDuplicates(["_id", "_key"]).select("_row.*")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class, whether it stays, and its verified links."""
     classes = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return classes.select("doc_id", "class_id", F.col("_best").alias("kept"))
+    return classes.select("doc_id", "class_id", F.col("_best").alias("kept"), "n_links", "linked_to")

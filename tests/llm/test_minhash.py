@@ -114,3 +114,35 @@ def test_one_row_stays_of_repeated_and_null_ids(spark):
     kept = minhash.one_of_each(docs).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "None"]
     assert {r.text.split()[0] for r in kept} == {"a0", "b0"}
+
+
+def test_links_are_verified_and_connect_classes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PARTNERS", 3)  # so that sets of centres are copied
+    monkeypatch.setattr(minhash, "BLOCK", 500)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows, base = [], rng.choices(words, k=70)
+    for i in range(40):
+        base = [rng.choice(words) if rng.random() < 0.015 else w for w in base]
+        rows.append((i, " ".join(base)))
+    rows += [(100, " ".join(rng.choices(words, k=50))), (101, rows[0][1])]
+    got = {r.doc_id: r for r in minhash.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    for i, r in got.items():
+        assert r.class_id == dict(brute(rows))[i]
+        assert (r.n_links == 0) == (r.linked_to is None)
+        if r.linked_to is not None:
+            a, b = sets[i], sets[r.linked_to]
+            assert got[r.linked_to].class_id == r.class_id and len(a & b) >= minhash.LEAST * len(a | b)
+    members = {}
+    for i, t in rows:
+        members.setdefault(got[i].class_id, {})[t] = got[i].n_links
+    assert all(sum(m.values()) >= 2 * (len(m) - 1) for m in members.values())
+
+
+def test_columns_with_internal_names_pass_through(spark):
+    names = ["_key", "_id", "_i", "_k", "_row", "_text", "class_id", "_best"]
+    rows = [(i, f"{i // 2} " + " ".join(f"a{k}" for k in range(20 * (i // 2), 20 * (i // 2) + 20)), *range(8)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == rows[::2]
