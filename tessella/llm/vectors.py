@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from tessella.llm._shared import materialise
 from tessella.llm.components import components
 
-#: Production parameters. SAMPLE bounds the vectors that pivots are fitted on, PIVOTS their number; CELL is the number of
-#: vectors for which a label gets a pivot more; BLOCK the vectors of a block. Cells are never capped: larger ones
-#: have more blocks.
-LEAST, SAMPLE, PIVOTS, CELL, BLOCK, ROUNDS = 0.93, 4096, 512, 2000, 2000, 5
+#: Production parameters. CELL is the number of vectors for which a label gets a pivot more, up to PIVOTS in all (of 64 dimensions,
+#: 8 MB to broadcast, and 30 million vectors; beyond it cells grow). Pivots are fitted on SAMPLE vectors, or EACH for every
+#: pivot; BLOCK is the vectors of a block. Cells are never capped: larger ones have more blocks.
+LEAST, SAMPLE, EACH, PIVOTS, CELL, BLOCK, ROUNDS = 0.93, 4096, 8, 16_384, 2000, 2000, 5
+#: Distances to pivots that are held at a time.
+HELD = 2_000_000
 
 
 def units(vectors: list[bytes]) -> np.ndarray:
@@ -57,6 +59,7 @@ def pivots(kinds: DataFrame, sample: int = SAMPLE, most: int = PIVOTS, cell: int
 
     k grows with the label's share of all vectors; a few rounds of spherical k-means on the sample even the cells out."""
     n = kinds.count()
+    sample = max(sample, EACH * min(most, n // cell))
     picked = kinds.orderBy(F.xxhash64("key"), "key").limit(sample).select("label", "key", "vector").collect()
     by: dict[tuple, list[bytes]] = {}
     for r in sorted(picked, key=lambda r: r.key):
@@ -70,7 +73,7 @@ def pivots(kinds: DataFrame, sample: int = SAMPLE, most: int = PIVOTS, cell: int
         x = units(vectors)
         p = x[np.linspace(0, len(x) - 1, k).astype(int)]
         for _ in range(ROUNDS):
-            home = (x @ p.T).argmax(1)
+            home = np.concatenate([(x[at : at + 2048] @ p.T).argmax(1) for at in range(0, len(x), 2048)])
             sums = np.zeros_like(p)
             np.add.at(sums, home, x)
             norm = np.linalg.norm(sums, axis=1)
@@ -79,6 +82,17 @@ def pivots(kinds: DataFrame, sample: int = SAMPLE, most: int = PIVOTS, cell: int
     return out
 
 
+def portions(names: list[tuple], centres: dict[tuple, np.ndarray]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(name, rows with it), so few rows at a time that their distances to the pivots are HELD at most."""
+    rows: dict[tuple, list[int]] = {}
+    for i, name in enumerate(names):
+        rows.setdefault(name, []).append(i)
+    for name, at in rows.items():
+        step = max(1, HELD // len(centres[name])) if name in centres else len(at)
+        for k in range(0, len(at), step):
+            yield name, np.array(at[k : k + step])
+
+
 def placed(kinds: DataFrame, centres: dict[tuple, np.ndarray], least: float) -> DataFrame:
     """(key, n, vector, cell, own): each vector in its own cell, and a copy in every cell where it may have a partner."""
     sent = kinds.sparkSession.sparkContext.broadcast(centres)  # PIVOTS vectors at most
@@ -89,17 +103,17 @@ def placed(kinds: DataFrame, centres: dict[tuple, np.ndarray], least: float) ->
             labels, raw = batch.column("label").to_pylist(), batch.column("vector").to_pylist()
             names = [(label, len(v) // 4) for label, v in zip(labels, raw)]
             rows, cells, own = [], [], []
-            for name in dict.fromkeys(names):
-                at = np.array([i for i, x in enumerate(names) if x == name])
+            for name, at in portions(names, sent.value):
                 p = sent.value.get(name)
                 if p is None:
                     which, cell, home = at, np.zeros(at.size, int), np.ones(at.size, bool)
                 else:
                     x = units([raw[i] for i in at])
-                    d2 = 2 - 2 * (x @ p.T) + (np.einsum("ij,ij->i", p, p) - 1)
+                    size = np.einsum("ij,ij->i", p, p)
+                    d2 = 2 - 2 * (x @ p.T) + (size - 1)
                     nearest = d2.argmin(1)
-                    apart = np.linalg.norm(p[:, None] - p[None], axis=2)[nearest]
-                    near = d2 - d2.min(1, keepdims=True) <= 2 * radius * apart
+                    apart = np.sqrt(np.maximum(0, size + size[nearest, None] - 2 * (p[nearest] @ p.T)))
+                    near = d2 - d2.min(1, keepdims=True) <= 2 * radius * apart + 1e-12
                     near[np.arange(at.size), nearest] = True
                     i, cell = np.nonzero(near)
                     which, home = at[i], cell == nearest[i]
@@ -115,12 +129,14 @@ def placed(kinds: DataFrame, centres: dict[tuple, np.ndarray], least: float) ->
 def joined(cells: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b, n): for each own vector of a cell and block of partners, b null and n the rows linked; and links (a, b)
     that connect what the links of two blocks connect, n null."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    sizes = cells.groupBy("cell").agg(parts(F.count("*")).alias("parts"), parts(F.count(F.when(F.col("own"), 1))).alias("own_parts")).where("own_parts > 0")
+    dealt = cells.join(sizes, "cell").withColumn("hash", F.xxhash64("key"))
     # part i of the cell's own vectors meets part j of all its vectors
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = dealt.where("own").select("cell", F.col("part").alias("i"), every.alias("j"), "key", "n", "vector", F.lit(True).alias("left"))
-    right = dealt.select("cell", every.alias("i"), F.col("part").alias("j"), "key", "n", "vector", F.lit(False).alias("left"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.col("hash"), F.col(n)).cast("int")
+    left = dealt.where("own").select("cell", of("own_parts").alias("i"), every("parts").alias("j"), "key", "n", "vector", F.lit(True).alias("left"))
+    right = dealt.select("cell", every("own_parts").alias("i"), of("parts").alias("j"), "key", "n", "vector", F.lit(False).alias("left"))
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("left").to_numpy()
@@ -174,6 +190,7 @@ def near_vectors(rows: DataFrame, least: float = LEAST, sample: int = SAMPLE, ce
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every vector."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

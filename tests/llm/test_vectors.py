@@ -87,3 +87,21 @@ def test_query(spark):
     got = vectors.op5_embedding_near_dedup(spark, sf).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_pivots_grow_with_the_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist(), 1) for i in range(1200)]
+    kinds = vectors.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    few, many = (vectors.pivots(kinds, sample=16, cell=c)[(1, 6)] for c in (300, 20))
+    assert len(few) == 4 and 50 <= len(many) <= 60
+    assert len(vectors.pivots(kinds, sample=16, cell=20, most=10)[(1, 6)]) <= 10
+
+
+def test_few_distances_are_held_at_a_time(spark, monkeypatch):
+    rows = data()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    names = [("a", 1)] * 7 + [("b", 1)] * 2
+    monkeypatch.setattr(vectors, "HELD", 6)
+    assert [(n, a.tolist()) for n, a in vectors.portions(names, {("a", 1): np.zeros((3, 1))})] == [(("a", 1), [0, 1]), (("a", 1), [2, 3]), (("a", 1), [4, 5]), (("a", 1), [6]), (("b", 1), [7, 8])]
+    assert vectors.near_vectors(df, cell=30).count() == len(rows)
