@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm._shared import materialise
 
-#: Production parameters. BUCKETS bounds the table of suffix statistics, whatever the number of suffixes.
-TREES, DEPTH, RATE, BINS, L2, BUCKETS = 10, 3, 0.4, 12, 1.0, 256
+#: Production parameters. BUCKETS bounds the table of suffix statistics, whatever the number of suffixes; about ROWS labelled
+#: URLs, those with the smallest hashes, fit the trees (the suffix statistics are of all).
+TREES, DEPTH, RATE, BINS, L2, BUCKETS, ROWS = 10, 3, 0.4, 12, 1.0, 256, 500_000
 #: The rules of the query, host with path, and their verdicts.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,10 +131,11 @@ class UrlModel:
         return 1 / (1 + F.exp(-self.trees.margin()))
 
 
-def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
-    """Fitted on all rows of (url, host, path, blocked), blocked being 0 or 1; nulls are left out.
+def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, most: int = ROWS) -> UrlModel:
+    """Fitted on rows of (url, host, path, blocked), blocked being 0 or 1; nulls are left out.
 
-    What reaches the driver is bounded: BUCKETS rates, BINS edges a feature, and sums by node, feature and bin. With no
+    Of more than `most` rows, those URLs whose hashes lie below a bound for about `most` rows fit the trees; rows of a URL stay
+    together, so one that is very frequent is in or out, and weighs as often as it occurs. What reaches the driver is bounded: BUCKETS rates, BINS edges a feature, and sums by node, feature and bin. With no
     rows or one class only, the prior answers alone."""
     rows = labelled.where("blocked is not null").select("url", "host", "path", F.col("blocked").cast("double").alias("y"))
     by = rows.groupBy(suffix_bucket("host").alias("k")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
@@ -143,10 +145,14 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> UrlModel
     if not 0 < y < n:
         return model
     names = list(model.features())
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < int(most / n * (1 << 40)))
     table = rows.select("y", *(f.alias(f"f_{k}") for k, f in model.features().items()))
     table = materialise(table.groupBy(*table.columns).agg(F.count("*").cast("double").alias("w")), "features")
     places = [i / BINS for i in range(1, BINS)]
     edges = table.agg(*(F.percentile_approx(f"f_{k}", places, 1000).alias(k) for k in names)).first()
+    if edges[names[0]] is None:  # the only URLs that there are lie above the bound
+        return model
     model.edges = {k: sorted(set(edges[k])) for k in names}
     table = table.withColumns(model.binned())
     bins = [f"b_{k}" for k in names]
@@ -191,14 +197,32 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str =
     host, path = parts(url)
     made = ["host", "path", "rule", "verdict", "score"]
     kept = [c for c in urls.columns if c not in made]
-    body = urls.select(*kept, host.alias("host"), path.alias("path"))
+    body = urls.select(F.struct(*kept).alias("_row"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = ruled("host", "path", rules)
     body = body.withColumns({"rule": rule, "_ruled": verdict})
     blocked = F.when(F.col("_ruled") == "block", 1).when(F.col("_ruled") == "allow", 0)
-    model = fit(body.select(F.col(url).alias("url"), "host", "path", blocked.alias("blocked")))
-    out = model.prepare(body if url == "url" else body.withColumn("url", F.col(url))).withColumn("score", model.score())
-    return out.withColumn("verdict", F.coalesce("_ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).select(*kept, *made)
+    model = fit(body.select("url", "host", "path", blocked.alias("blocked")))
+    out = model.prepare(body).withColumn("score", model.score())
+    return out.withColumn("verdict", F.coalesce("_ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).select("_row.*", *made)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every page, and the trees' score."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4_url_filter: host, path, rule, and the verdict where a rule gives it."""
+    found = op4_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+OP4_RULES_SQL = f"""
+with u as (select page_id, coalesce(url, '') as url from pages),
+p as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from u),
+rules(rule, ruled) as (values {", ".join(f"('{r}', '{v}')" for r, v in RULES)}),
+fits as (
+  select page_id, arg_max(rule, length(rule)) as rule, arg_max(ruled, length(rule)) as ruled from p join rules
+  on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, strpos(rule, '/'))) group by page_id)
+select page_id, host, path, rule, ruled from p left join fits using (page_id)
+"""

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import urlfilter as u
 
@@ -67,3 +68,28 @@ def test_query_and_plan(spark):
     want = {r.page_id: brute(r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in out.collect():
         assert (r.host, r.path, r.rule) == want[r.page_id][:3] and r.verdict == (want[r.page_id][3] or r.verdict) and r.verdict in ("allow", "block")
+
+
+def test_columns_with_internal_names_pass_through(spark):
+    names = ["_row", "_ruled", "f_length", "f_suffix", "b_length", "length", "blocked", "link"]
+    df = spark.createDataFrame([(i, x, *([7] * len(names))) for i, x in enumerate(URLS)], f"page_id long, url string, {', '.join(f'{n} int' for n in names)}")
+    out = u.judge(df).collect()
+    assert len(out) == len(URLS) and all(r[n] == 7 for r in out for n in names) and all(r.url == URLS[r.page_id] for r in out)
+    other = u.judge(df.withColumnRenamed("url", "address"), url="address").collect()
+    assert {(r.page_id, r.address, r.host, r.verdict) for r in other} == {(r.page_id, r.url, r.host, r.verdict) for r in out}
+
+
+def test_bounded_fit(spark):
+    rows = [(f"http://h{i % 7}.org/{'9' * (i % 5) if i % 2 else 'abc'}/{i}", i % 2) for i in range(3000)] + [("http://hot.org/9", 1)] * 1500
+    df = spark.createDataFrame(rows, "url string, blocked int").withColumns(dict(zip(("host", "path"), u.parts())))
+    model = u.fit(df, trees=3, most=900)
+    assert model.trees.trees and set(model.suffixes) and u.fit(df.where("url = 'http://hot.org/9'").withColumn("blocked", (F.rand(1) > 0.5).cast("int")), most=1).prior > 0.3
+
+
+def test_rules_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame({"page_id": range(len(URLS)), "url": URLS}))
+    assert {r[0]: r[1:] for r in con.sql(u.OP4_RULES_SQL).fetchall()} == {i: brute(x) for i, x in enumerate(URLS)}
