@@ -228,7 +228,7 @@ class Merger(dict):
 class ByteBPE:
     """Encoder and decoder over a file of ranks (`base64 rank` a line)."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 200_000):
         self.merger = Merger(ranks, cache)
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -303,6 +303,7 @@ def decode(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded",
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document: its ids' number and digest, and the digest of what they decode to."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
