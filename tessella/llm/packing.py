@@ -149,4 +149,5 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every piece of every document."""
     return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

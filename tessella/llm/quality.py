@@ -130,6 +130,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.n
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(documents.select("doc_id", "text"), *fit(documents, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_quality_classifier that SQL can express."""
+    return op7_quality_classifier(spark, sf_dir).select("doc_id", "held_out")
