@@ -3,6 +3,10 @@ copies stays, and the rest is packed into training sequences.
 
 Each stage takes all documents that the one before it kept, and returns them with the columns of `documents`; the last
 returns the packed pieces.
+
+Columns of any name pass through every stage but the last. Null and empty texts, null ids, repeated rows and empty tables are
+taken as the operators say: a null text is an empty one (the rules reject it), rows that repeat are judged each and one of
+them stays after the near-duplicates, null ids take part, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import minhash, packing, quality, rules
-from tessella.llm._shared import materialise
+from tessella.llm._shared import free_name, materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at the threshold or above; the classifier learns from labelled ones among docs."""
     margins, bias = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, margins, bias, out="_score").where(f"_score >= {quality.THRESHOLD}").drop("_score")
+    out = free_name(docs, "_score")
+    return quality.score(docs, margins, bias, out=out).where(f"{out} >= {quality.THRESHOLD}").drop(out)
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
