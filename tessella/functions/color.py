@@ -147,3 +147,18 @@ def half_to_float(c) -> Column:
     normal = F.pow(F.lit(2.0), exponent - 15) * (1 + fraction / 1024)
     special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
     return sign * F.when(exponent == 0, fraction * 2.0**-24).when(exponent == 31, special).otherwise(normal)
+
+
+def float_to_half(c) -> Column:
+    """IEEE half precision bits (0..65535) of a number; ties go to the larger magnitude, what is too large to infinity, magnitudes
+    below 2^-25 to 0; not a number is 32256. Nulls stay null."""
+    x = col(c).cast("double")
+    size, sign = F.abs(x), F.when((x < 0) | (x.cast("string") == "-Infinity"), 32768).otherwise(0)
+    guess = F.floor(F.log2(F.greatest(size, F.lit(2.0**-30)))).cast("int")
+    # the logarithm may round over a power of two
+    exponent = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    step = F.greatest(exponent, F.lit(-14))
+    units = F.floor(size / F.pow(F.lit(2.0), step - 10) + 0.5).cast("int")
+    bits = F.when(exponent < -14, units).otherwise((step + 14) * 1024 + units)
+    value = F.when(F.isnan(x), 32256).when(size >= 65520.0, sign + 31744).when(size < 2.0**-25, 0).otherwise(sign + bits)
+    return F.when(x.isNull(), None).otherwise(value).cast("int")

@@ -146,3 +146,65 @@ def scaled_into(width, height, box_width, box_height) -> tuple[Column, Column]:
     w, h, bw, bh = map(col, (width, height, box_width, box_height))
     wide = bw * h < bh * w
     return F.when(wide, bw).otherwise(F.floor(bh * w / h)), F.when(wide, F.floor(bw * h / w)).otherwise(bh)
+
+
+def dpi_to_pixel_size(dpi) -> Column:
+    """Dots per inch to micrometres."""
+    return 1e3 / (col(dpi) / 25.4)
+
+
+def left_trimmed(text, chars: str) -> Column:
+    return F.ltrim(col(text), F.lit(chars))
+
+
+def decimals(number, places: int) -> Column:
+    """With thousands separators and a fixed number of decimals."""
+    return F.format_number(col(number).cast("double"), places)
+
+
+def first_token(text, separator: str) -> tuple[Column, Column]:
+    """(first token, what is left); without a separator the whole text and nothing."""
+    t = col(text)
+    found = F.instr(t, separator) > 0
+    return F.substring_index(t, separator, 1), F.when(found, F.substr(t, F.instr(t, separator) + 1)).otherwise("")
+
+
+def last_token(text, separator: str) -> tuple[Column, Column]:
+    """(last token, what is left); without a separator the whole text and nothing."""
+    t = col(text)
+    last = F.substring_index(t, separator, -1)
+    return last, F.when(F.instr(t, separator) > 0, F.substr(t, F.lit(1), F.length(t) - F.length(last) - 1)).otherwise("")
+
+
+def copy_bounds(src: tuple, size: tuple, to: tuple, limits: tuple, by: Rect) -> dict[str, Column]:
+    """src_x, src_y, width, height, dst_x, dst_y of a copy clipped to a rectangle of the target, then to the source's limits (width,
+    height). A width or height below 1 means that nothing is left. A target place below 0 isn't counted against a source place
+    that is still below 0."""
+    (sx, sy), (w, h), (dx, dy), (lw, lh), (left, top, right, bottom) = (tuple(map(col, t)) for t in (src, size, to, limits, by))
+    out = {}
+    for n, s, length, d, limit, low, high in (("x", sx, w, dx, lw, left, right), ("y", sy, h, dy, lh, top, bottom)):
+        front, below = F.greatest(F.lit(0), low - d), F.least(F.lit(0), d)
+        s, d, length = s + front, d + front, length - front
+        lacking = F.when(s < 0, s - below).otherwise(0)
+        s, d, length = F.greatest(F.lit(0), s), d - lacking, length + lacking
+        length = F.least(length, limit - s)
+        out |= {f"src_{n}": s, f"dst_{n}": d, "width" if n == "x" else "height": F.least(length, high - d)}
+    return out
+
+
+def stretch_bounds(src: tuple, size: tuple, to: tuple, to_size: tuple, limits: tuple, by: Rect) -> dict[str, Column]:
+    """src_x, src_width, dst_x, dst_width and the same down of a copy that stretches: what is cut off one side is cut off the other
+    by their scale, rounded half to even, in the order of the target's front, the source's front, the source's end, the target's end."""
+    (sx, sy), (w, h), (dx, dy), (dw, dh), (lw, lh), (left, top, right, bottom) = (tuple(map(col, t)) for t in (src, size, to, to_size, limits, by))
+    whole = lambda x: F.bround(x).cast("int")
+    out = {}
+    for n, name, s, length, d, far, limit, low, high in (("x", "width", sx, w, dx, dw, lw, left, right), ("y", "height", sy, h, dy, dh, lh, top, bottom)):
+        scale, front = far / length, F.greatest(F.lit(0), low - d)
+        s, length, d, far = s + whole(front / scale), length - whole(front / scale), d + front, far - front
+        lacking = F.least(F.lit(0), s)
+        s, length, d, far = F.greatest(F.lit(0), s), length + lacking, d - whole(lacking * scale), far + whole(lacking * scale)
+        kept = F.least(length, limit - s)
+        length, far = kept, F.when(kept < length, whole(far * (kept / length))).otherwise(far)
+        kept = F.least(far, high - d)
+        out |= {f"src_{n}": s, f"src_{name}": F.when(kept < far, whole(length * (kept / far))).otherwise(length), f"dst_{n}": d, f"dst_{name}": kept}
+    return out

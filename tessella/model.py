@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import drawing, geometry, resample
 from tessella.operators import frames as frame_ops
+from tessella.sources import formats as image_formats
 from tessella.sources import images
 
+#: Different sizes of frames that are resized in one call.
+MOST_SIZES = 100
+VERSION = "0.2"
+
 #: Name, class, bytes of a pixel (of a 4 x 4 block for block formats), channels, alpha.
 FORMATS = [
     ("Index8", "index", 1, 1, True), ("Gray8", "gray", 1, 1, False), ("A8Gray8", "gray", 2, 2, True), ("Gray16", "gray", 2, 1, False), ("Gray32", "gray", 4, 1, False),
@@ -51,9 +57,64 @@ class Images:
         return images.to_pixels_fast(self.frames.where(F.col("frame_idx") == frame), ["image_id"])
 
     def map(self, f, frame: int = 0) -> Images:
-        """f: pixels to pixels, applied to a frame of every image."""
+        """f: pixels to pixels, applied to one frame of every image, which alone makes up the new images; `apply` takes all frames."""
         return Images.from_pixels(f(self.pixels(frame)))
 
+    def apply(self, f) -> Images:
+        """f: pixels to pixels, applied to every frame of every image; the frames keep their order."""
+        every = images.to_pixels_fast(self.frames, ["image_id", "frame_idx"])
+        alone = f(every.withColumn("image_id", F.struct("image_id", "frame_idx")).drop("frame_idx"))
+        packed = images.from_pixels(alone).select("image_id.image_id", "image_id.frame_idx", "width", "height", F.lit("A8R8G8B8").alias("format"), "bits", F.lit(None).cast("string").alias("error"))
+        return Images(packed)
+
+    def flip(self) -> Images:
+        return self.apply(geometry.flip)
+
+    def mirror(self) -> Images:
+        return self.apply(geometry.mirror)
+
+    def rotate(self, angle: float) -> Images:
+        return self.apply(lambda p: drawing.rotate(p, angle))
+
+    def swap_channels(self, first: str, second: str) -> Images:
+        return self.apply(lambda p: geometry.swap_channels(p, first, second))
+
+    def replace_color(self, old: dict[str, int], new: dict[str, int], rect: tuple[int, int, int, int] | None = None) -> Images:
+        return self.apply(lambda p: geometry.replace_color(p, old, new, rect))
+
+    def resize(self, width: int, height: int, how: str = "bilinear") -> Images:
+        """Every frame to a size, whatever its own: frames of one size are resized together."""
+        sizes = sorted((r.width, r.height) for r in self.frames.where("bits is not null").select("width", "height").distinct().limit(MOST_SIZES + 1).collect())
+        if len(sizes) > MOST_SIZES:
+            raise ValueError(f"more than {MOST_SIZES} sizes of frames")
+        out = None
+        for w, h in sizes:
+            one = Images(self.frames.where((F.col("width") == w) & (F.col("height") == h))).apply(lambda p, w=w, h=h: resample.resize(p, (w, h), (width, height), how)).frames
+            out = one if out is None else out.unionByName(one)
+        return Images(self.frames.limit(0) if out is None else out)
+
+    def crop_to(self, rect: tuple[int, int, int, int], other: Images, at: tuple[int, int]) -> Images:
+        """The images of `other` with a rectangle (left, top, width, height) of the first frame of these copied in."""
+        return Images.from_pixels(geometry.copy_rect(self.pixels(), other.pixels(), *rect, *at))
+
+    def stretch_to(self, rect: tuple[int, int, int, int], other: Images, to: tuple[int, int, int, int], how: str = "bilinear") -> Images:
+        return Images.from_pixels(resample.stretch_rect(self.pixels(), other.pixels(), rect, to, how))
+
+    def append(self, other: Images) -> Images:
+        """The frames of `other` after those of these images."""
+        return Images(frame_ops.append(self.frames, other.frames))
+
+    def insert_many(self, at: int, other: Images) -> Images:
+        return Images(frame_ops.insert_many(self.frames, at, other.frames))
+
+    def typed(self, pixel_format: str = "A8R8G8B8") -> DataFrame:
+        """All frames as typed ones in a pixel format."""
+        return image_formats.convert(image_formats.typed(self.frames), pixel_format)
+
+    @classmethod
+    def from_typed(cls, frames: DataFrame) -> Images:
+        return cls(image_formats.untyped(frames))
+
     def reverse(self) -> Images:
         return Images(frame_ops.reverse(self.frames))
 
@@ -71,5 +132,5 @@ class Images:
         good = F.octet_length("bits") == F.col("width").cast("long") * F.col("height") * 4
         return self.frames.groupBy("image_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("valid"))
 
-    def encode(self, kind: str) -> DataFrame:
-        return images.encode(self.frames, kind, "image_id", "frame_idx")
+    def encode(self, kind: str, **options) -> DataFrame:
+        return images.encode(self.frames, kind, "image_id", "frame_idx", **options)

@@ -83,3 +83,15 @@ def otsu_reference(counts: list[int]) -> int:
                 best, level = v, i
         w, s = w + counts[i], s + (i + 1) * counts[i]
     return level
+
+
+def deskew(pixels: DataFrame, most: int = 10, level: int | None = None) -> DataFrame:
+    """Every image turned back by the skew of its text lines, found on its gray values; level: what counts as light, by Otsu's
+    threshold of each image if none is given."""
+    from tessella.operators.drawing import rotate_each
+
+    light = pixels.select("image_id", "x", "y", gray().alias("g"))
+    if level is None:
+        light, level = binarize(light, otsu(light)), 128
+    angles = skew_angle(light, most, level).select("image_id", (-F.col("angle")).alias("angle"))
+    return rotate_each(pixels, angles)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.color import from_float, to_float
-from tessella.operators.geometry import KEY
+from tessella.operators.geometry import KEY, crop
+from tessella.operators.resample import resize
 
 ARGB = ("a", "r", "g", "b")
 FACTORS = ("zero", "one", "src_alpha", "one_minus_src_alpha", "dst_alpha", "one_minus_dst_alpha", "src_color", "one_minus_src_color", "dst_color", "one_minus_dst_color")
@@ -57,3 +60,11 @@ def over_fast(source: DataFrame, target: DataFrame, at: tuple[int, int] = (0, 0)
 
 def add(source: DataFrame, target: DataFrame, at: tuple[int, int] = (0, 0)) -> DataFrame:
     return laid(source, target, at, lambda s, d: {c: s[c] + d[c] for c in ARGB})
+
+
+def stretched(source: DataFrame, target: DataFrame, rect: tuple[int, int, int, int], to: tuple[int, int, int, int], how: str = "bilinear", draw: Callable[..., DataFrame] = over, **more) -> DataFrame:
+    """A rectangle of source, resampled to the size of one of target and drawn there: by `over`, `over_fast`, `add`, or `blend`
+    with its factors."""
+    x, y, w, h = rect
+    part = resize(crop(source, x, y, w, h), (w, h), (to[2], to[3]), how)
+    return draw(part, target, at=(to[0], to[1]), **more)

@@ -68,21 +68,32 @@ def ellipse(pixels: DataFrame, x: int, y: int, width: int, height: int, fill: di
     return painted(out, here & ~(within(1, 0) & within(-1, 0) & within(0, 1) & within(0, -1)), pen) if pen else out
 
 
-def per_image(pixels: DataFrame, f) -> DataFrame:
-    """f: array [h, w, 4] to array, for each image in a task; missing pixels are 0."""
+def clip(pixels: DataFrame, rect: tuple[int, int, int, int], draw) -> DataFrame:
+    """draw(pixels) within a rectangle (left, top, right, bottom; right and bottom are outside) and the rest as it was.
+
+    The corners may stand in any order. draw paints pixels where they are, as the shapes of this module do."""
+    left, right = sorted(rect[::2])
+    top, bottom = sorted(rect[1::2])
+    here = inside(left, top, right - left, bottom - top)
+    return draw(pixels.where(here)).unionByName(pixels.where(~here))
+
+
+def per_image(pixels: DataFrame, f, argument: str | None = None) -> DataFrame:
+    """f: array [h, w, 4] to array, for each image in a task; missing pixels are 0. argument: a column with one value an image,
+    which f gets as well."""
 
     def run(table: pa.Table) -> pa.Table:
         x, y = (table.column(c).to_numpy() for c in "xy")
         p = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 4), np.uint8)
         p[y, x] = np.stack([table.column(c).to_numpy() for c in ARGB], 1)
-        out = f(p)
+        out = f(p, table.column(argument)[0].as_py()) if argument else f(p)
         h, w = out.shape[:2]
         ys, xs = np.divmod(np.arange(h * w), w)
         ids = pa.repeat(table.column("image_id")[0], h * w)
         return pa.table({"image_id": ids, "x": pa.array(xs.astype(np.int32)), "y": pa.array(ys.astype(np.int32)), **{c: pa.array(out[..., k].ravel().astype(np.int32)) for k, c in enumerate(ARGB)}})
 
     kind = pixels.schema["image_id"].dataType.simpleString()
-    return pixels.select("image_id", "x", "y", *ARGB).groupBy("image_id").applyInArrow(run, f"image_id {kind}, x int, y int, a int, r int, g int, b int")
+    return pixels.select("image_id", "x", "y", *ARGB, *([argument] if argument else [])).groupBy("image_id").applyInArrow(run, f"image_id {kind}, x int, y int, a int, r int, g int, b int")
 
 
 def flood_fill(pixels: DataFrame, x: int, y: int, color: tuple[int, int, int, int], boundary: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -145,3 +156,9 @@ def turned(p: np.ndarray, angle: float) -> np.ndarray:
 
 def rotate(pixels: DataFrame, angle: float) -> DataFrame:
     return per_image(pixels, lambda p: turned(p, angle))
+
+
+def rotate_each(pixels: DataFrame, angles: DataFrame) -> DataFrame:
+    """Every image by its own angle, of (image_id, angle); an image without one isn't turned."""
+    placed = pixels.join(angles, "image_id", "left").withColumn("angle", F.coalesce("angle", F.lit(0.0)).cast("double"))
+    return per_image(placed, turned, "angle")

@@ -36,7 +36,7 @@ def map_to_palette(pixels: DataFrame, palette: DataFrame, entries: int = 256) ->
     """pixels with idx, the palette's nearest entry by the sum of differences, the first among equal ones.
 
     A palette has `entries` (256) rows at most, which is checked where it is collected; it becomes a constant array, so that
-    mapping is a projection over the distinct colours of the pixels."""
+    mapping is a projection, of each pixel by itself, without a shuffle."""
     rows = palette.orderBy("idx").limit(entries + 1).collect()
     if len(rows) > entries:
         raise ValueError(f"a palette has {entries} entries at most")
@@ -54,21 +54,53 @@ def is_gray(palette: DataFrame) -> DataFrame:
     return palette.agg(F.coalesce(F.min((F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))), F.lit(True)).alias("is_gray"))
 
 
-def median_cut(colors: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """At most `most` colours [k, 4] for distinct colours and how often they occur: the box with the largest weighted side
-    is cut in its middle until there are enough; a box's colour is the mean of its pixels."""
+class Boxes:
+    """Boxes of colours, those with most pixels first: lowest and highest channels [k, 4] and the boxes' colours."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, colors: np.ndarray):
+        self.low, self.high, self.colors = low, high, colors
+
+    def index(self, colors: np.ndarray, rows: int = 4096) -> np.ndarray:
+        """The first box that holds each colour, 0 if none does."""
+        out = np.zeros(len(colors), int)
+        for at in range(0, len(colors), rows):
+            c = colors[at : at + rows, None]
+            out[at : at + rows] = ((self.low <= c) & (c <= self.high)).all(2).argmax(1)
+        return out
+
+
+def median_boxes(colors: np.ndarray, counts: np.ndarray, most: int, mask: int = 255) -> Boxes:
+    """Median cut of distinct colours [n, 4] under a channel mask with their numbers: the box with the largest weighted side, the
+    first of equal ones, is cut in the side's middle; the lower part keeps its place and the upper goes to the end. A box's
+    colour is the mean of its pixels, cut to whole numbers."""
     weights = np.array([SIDES[c] for c in ARGB])
-    boxes = [np.arange(len(colors))]
-    while len(boxes) < most:
-        spans = [(colors[b].max(0) - colors[b].min(0)) * weights for b in boxes]
-        which = max(range(len(boxes)), key=lambda i: spans[i].max())
+    boxes = [np.arange(len(colors))] if len(colors) else []
+    spans = [(colors.max(0) - colors.min(0)) * weights] if boxes else []
+    while boxes and len(boxes) < most:
+        which = int(np.argmax([s.max() for s in spans]))
         if not spans[which].max():
             break
-        box, side = boxes.pop(which), int(spans[which].argmax())
-        middle = (int(colors[box, side].min()) + int(colors[box, side].max())) // 2
-        boxes += [box[colors[box, side] <= middle], box[colors[box, side] > middle]]
-    means = [np.rint((colors[b] * counts[b, None]).sum(0) / counts[b].sum()).astype(int) for b in boxes]
-    return np.array(sorted(map(tuple, means)))
+        box, side = boxes[which], int(spans[which].argmax())
+        v = colors[box, side]
+        lower = v <= (int(v.min()) + int(v.max())) >> 1
+        boxes[which] = box[lower]
+        boxes.append(box[~lower])
+        spans[which] = np.ptp(colors[boxes[which]], axis=0) * weights
+        spans.append(np.ptp(colors[boxes[-1]], axis=0) * weights)
+    total = [int(counts[b].sum()) for b in boxes]
+    order = list(range(len(boxes)))
+    for i in range(len(order) - 1):  # the largest of the rest changes places with the next one
+        k = max(range(i, len(order)), key=lambda j: total[order[j]])
+        order[i], order[k] = order[k], order[i]
+    boxes = [boxes[i] for i in order]
+    shape = lambda rows: np.array(rows, int).reshape(-1, 4)
+    means = shape([(colors[b].astype(np.int64) * counts[b, None]).sum(0) // counts[b].sum() for b in boxes])
+    return Boxes(shape([colors[b].min(0) & mask for b in boxes]), shape([(colors[b].max(0) & mask) + (255 - mask) for b in boxes]), means)
+
+
+def median_cut(colors: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` colours [k, 4] for distinct colours and how often they occur, in the order of their channels."""
+    return np.array(sorted(map(tuple, median_boxes(colors, counts, most).colors)))
 
 
 def color_counts(pixels: DataFrame, by: list[str], mask: int = 255) -> DataFrame:
@@ -80,7 +112,7 @@ def palettes(pixels: DataFrame, most: int = 256, mask: int = 255) -> DataFrame:
     """(image_id, idx, a, r, g, b): a palette for each image. What is gathered per image is its distinct colours."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = median_cut(group[list(ARGB)].to_numpy(), group["n"].to_numpy(), most)
+        found = median_boxes(group[list(ARGB)].to_numpy(), group["n"].to_numpy(), max(2, most), mask).colors
         out = pd.DataFrame(found, columns=list(ARGB))
         out.insert(0, "idx", range(len(out)))
         out.insert(0, "image_id", group["image_id"].iloc[0])
@@ -89,17 +121,43 @@ def palettes(pixels: DataFrame, most: int = 256, mask: int = 255) -> DataFrame:
     return color_counts(pixels, ["image_id"], mask).groupBy("image_id").applyInPandas(run, "image_id long, idx int, a int, r int, g int, b int")
 
 
+def shared_palette(pixels: DataFrame, most: int = 256, mask: int = 255) -> DataFrame:
+    """(idx, a, r, g, b): one palette for the pixels of all images, from their distinct colours with their numbers.
+
+    The colours that are gathered are those that a mask leaves (a mask of 248 leaves a million at most)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = median_boxes(group[list(ARGB)].to_numpy(), group["n"].to_numpy(), max(2, most), mask).colors
+        out = pd.DataFrame(found, columns=list(ARGB))
+        out.insert(0, "idx", range(len(out)))
+        return out
+
+    counted = color_counts(pixels.withColumn("_all", F.lit(0)), ["_all"], mask)
+    return counted.groupBy("_all").applyInPandas(run, "idx int, a int, r int, g int, b int")
+
+
 def reduce_colors(pixels: DataFrame, most: int) -> DataFrame:
-    """Pixels with their image's colours reduced to at most `most` (2..4096); each distinct colour is mapped once."""
+    """Pixels with their image's colours reduced to at most `most` (2..4096); each distinct colour is mapped once, to the
+    first box that holds it."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         colors = group[list(ARGB)].to_numpy()
-        found = median_cut(colors, group["n"].to_numpy(), max(2, min(4096, most)))
-        nearest = np.array([np.abs(found - c).sum(1).argmin() for c in colors])
+        found = median_boxes(colors, group["n"].to_numpy(), max(2, min(4096, most)))
         out = group.drop(columns="n").copy()
-        out[[f"_{c}" for c in ARGB]] = found[nearest]
+        out[[f"_{c}" for c in ARGB]] = found.colors[found.index(colors)]
         return out
 
     counted = color_counts(pixels, ["image_id"])
     mapped = counted.groupBy("image_id").applyInPandas(run, "image_id long, a int, r int, g int, b int, _a int, _r int, _g int, _b int")
     return pixels.join(mapped, ["image_id", *ARGB]).select("image_id", "x", "y", *(F.col(f"_{c}").alias(c) for c in ARGB))
+
+
+def copy_entries(source: DataFrame, target: DataFrame, at: int, to: int, count: int) -> DataFrame:
+    """target (idx, a, r, g, b) with `count` entries of source, from `at` on, in the places from `to` on that it has."""
+    part = source.where(F.col("idx").between(at, at + count - 1)).select((F.col("idx") - at + to).alias("idx"), *(F.col(c).alias(f"_{c}") for c in ARGB))
+    return target.join(part, "idx", "left").select("idx", *(F.coalesce(f"_{c}", c).alias(c) for c in ARGB))
+
+
+def as_image(palette: DataFrame, image_id: int = 0) -> DataFrame:
+    """The palette as an image of one row, a pixel an entry."""
+    return palette.select(F.lit(image_id).alias("image_id"), F.col("idx").alias("x"), F.lit(0).alias("y"), *ARGB)

@@ -13,46 +13,15 @@ from pyspark.sql import functions as F
 from tessella import model
 from tessella.functions import color, helpers
 from tessella.operators import analysis, blocks, compose, drawing, frames, geometry, neighborhood, palette, point, resample
-from tessella.plans.fixtures import DUCK, pixels
+from tessella.plans import formats_catalog
+from tessella.plans.fixtures import DUCK
+from tessella.plans.registry import ARGB, S8, QUERIES, SQL, XY, add, c8, each, over_table
 
 FLAGSHIP = "convolve_gauss3"
-XY = ["image_id", "x", "y"]
-ARGB = ["a", "r", "g", "b"]
-S8 = {"width": 8, "height": 8}
-
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
-
-
-def add(name: str, fixture: str, f: Callable, sql: str | None, ints: list[str], floats: list[str] = (), second: str | None = None) -> None:
-    """f gets the fixture's pixels (and the second fixture's); sql selects from p (and q)."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        given = [pixels(spark, sf_dir, x) for x in (fixture, second) if x]
-        return f(*given).select(*(F.col(c).cast("long").alias(c) for c in ints), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in floats))
-
-    _queries[name] = run
-    if sql:
-        made = ", ".join([f"cast({c} as bigint) as {c}" for c in ints] + [f"round(cast({c} as double), 6) as {c}" for c in floats])
-        more = f", q as ({DUCK[second]})" if second else ""
-        _sql[name] = f"with p as ({DUCK[fixture]}){more} select {made} from ({sql})"
-    if fixture == "doc":  # the same over every character; its SQL is checked on a small table only
-        add(f"{name}_whole", "whole_doc", f, None, ints, floats)
-
-
-def c8(e: str, top: int = 255) -> str:
-    return f"cast(greatest(0, least({top}, round_even({e}, 0))) as int)"
-
-
 def size_join(select: str, where: str = "") -> str:
     return f"select {select} from p join (select image_id, max(x) + 1 as w, max(y) + 1 as h from p group by image_id) s using (image_id) {where}"
 
 
-def each(f: str, channels: str = "rgb") -> str:
-    """f with {c} for each channel."""
-    return ", ".join(f"{f.format(c=c)} as {c}" for c in channels)
-
-
 # coordinates
 for fixture in ("doc", "events"):
     add(f"flip_{fixture}", fixture, geometry.flip, size_join("image_id, x, h - 1 - y as y, a, r, g, b"), XY + ARGB)
@@ -267,17 +236,6 @@ add("draw_alpha_fast", "rgba", lambda p: compose.over_fast(p, geometry.mirror(p,
     + ", ".join(f"case when sa is null then {c} else (s{c} * ((sa * 256) // total) + {c} * (256 - (sa * 256) // total)) >> 8 end as {c}" for c in RGB) + f" from {FAST}", XY + ARGB)
 
 
-def over_table(name: str, table: str, f: Callable, sql: str, ints: list[str], floats: list[str] = (), texts: list[str] = ()) -> None:
-    """A query over a test table itself."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made = f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        return made.select(*(F.col(c).cast("long").alias(c) for c in ints), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in floats), *texts)
-
-    _queries[name] = run
-    _sql[name] = "select " + ", ".join([f"cast({c} as bigint) as {c}" for c in ints] + [f"round(cast({c} as double), 6) as {c}" for c in floats] + list(texts)) + f" from ({sql})"
-
-
 over_table("text_helpers", "part", lambda t: t.select(
     "p_partkey", helpers.mask_match("p_name", "*a?e*").alias("m1"), helpers.mask_match("p_name", "").alias("m2"), helpers.mask_match("p_brand", "brand#1*", True).alias("m3"), helpers.position("p_name", "E", 2, False).alias("place"),
     helpers.contains_any("p_type", ["STEEL", "TIN"]).alias("has_any"), F.size(helpers.tokens("p_type", " ")).alias("n"), helpers.substring("p_name", 2, 5).alias("part"), helpers.trim_set("p_name", "aeiou").alias("trimmed"),
@@ -348,6 +306,28 @@ def through(kind: str) -> Callable:
 for kind in blocks.FORMATS:
     add(f"block_{kind.lower()}", "rgba", through(kind), None, XY + ARGB)
 
+# stretched, then drawn over the mirror image: the upper left quarter over 6 x 6 pixels from (1, 2) on
+PART = resized_sql("(select * from p where x < 4 and y < 4)", (4, 4), (6, 6), "linear", "argb")
+MIRRORED = "(select image_id, 7 - x as x, y, a, r, g, b from p)"
+STRETCHED = f" from {MIRRORED} d left join (select image_id, x + 1 as x, y + 2 as y, a / 255e0 as a, r / 255e0 as r, g / 255e0 as g, b / 255e0 as b from {PART}) s using (image_id, x, y)"
+
+
+def stretched_sql(f: dict[str, str]) -> str:
+    return laid_sql(f).replace(LAID, STRETCHED)
+
+
+def stretched(draw: Callable, **more) -> Callable:
+    return lambda p: compose.stretched(p, geometry.mirror(p, **S8), (0, 0, 4, 4), (1, 2, 6, 6), "bilinear", draw, **more)
+
+
+add("stretch_draw_alpha", "rgba", stretched(compose.over), stretched_sql({"a": f"s.a + {da} - s.a * ({da})"} | {c: f"s.{c} * {share} + d.{c} / 255e0 * (1 - {share})" for c in RGB}), XY + ARGB)
+add("stretch_draw_add", "rgba", stretched(compose.add), stretched_sql({c: f"s.{c} + d.{c} / 255e0" for c in ARGB}), XY + ARGB)
+add("stretch_draw_blend", "rgba", stretched(compose.blend, src="src_alpha", dst="one_minus_src_alpha"),
+    stretched_sql({c: f"s.{c} * {FACTOR['src_alpha']} + d.{c} / 255e0 * {FACTOR['one_minus_src_alpha']}" for c in ARGB}), XY + ARGB)
+add("stretch_draw_alpha_fast", "rgba", stretched(compose.over_fast), "select image_id, x, y, case when sa is null then a else least(255, total) end as a, "
+    + ", ".join(f"case when sa is null then {c} else (s{c} * ((sa * 256) // total) + {c} * (256 - (sa * 256) // total)) >> 8 end as {c}" for c in RGB)
+    + f" from (select *, sa + 1 + ((a * (256 - sa)) >> 8) as total from (select d.image_id, d.x, d.y, d.a, d.r, d.g, d.b, s.a as sa, s.r as sr, s.g as sg, s.b as sb from {MIRRORED} d left join (select image_id, x + 1 as x, y + 2 as y, a, r, g, b from {PART}) s using (image_id, x, y)))", XY + ARGB)
+
 # drawing
 RED, GREEN = {"a": 255, "r": 255, "g": 0, "b": 0}, {"a": 255, "r": 0, "g": 200, "b": 10}
 
@@ -365,14 +345,16 @@ HALF = "case when x between 2 and 6 and y between 1 and 5 then {} else {} end as
 add("fill_rect_blend", "rgba", lambda p: drawing.fill_rect_blend(p, 2, 1, 5, 5, {"a": 100, "r": 250, "g": 20, "b": 90}),
     "select image_id, x, y, " + HALF.format(c8("round((100 / 255e0 + a / 255e0 - 100 / 255e0 * (a / 255e0)) * 255, 9)"), "a", "a") + ", "
     + ", ".join(HALF.format(c8(f"round(({v} / 255e0 * (100 / 255e0) + {c} / 255e0 * (1 - 100 / 255e0)) * 255, 9)"), c, c) for c, v in zip("rgb", (250, 20, 90))) + " from p", XY + ARGB)
-add("flood_fill", "doc", lambda p: drawing.flood_fill(p, 0, 0, (255, 1, 2, 3)), None, XY + ARGB)
 add("rotate_any", "rgba", lambda p: drawing.rotate(p, 30.0), None, XY + ARGB)
 add("rotate_any_quarter", "rgba", lambda p: drawing.rotate(p, 90.0), "select image_id, y as x, 7 - x as y, a, r, g, b from p", XY + ARGB)
 
 
+assert formats_catalog  # registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)

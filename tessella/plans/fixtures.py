@@ -14,24 +14,25 @@ SPARK = {
     "events": "select 0 image_id, cast(event_id % 100 as int) x, cast(event_id div 100 as int) y, 255 a, cast(least(255, greatest(0, floor(value*255/500))) as int) r, cast(user_id % 256 as int) g, length(event_type)*16 b from events",
     "heat": "select 0 image_id, l_linenumber-1 x, l_orderkey y, 255 a, cast(least(255, sum(l_quantity)) as int) r, 0 g, cast(count(*) as int) b from lineitem group by l_linenumber, l_orderkey",
     "doc": """select doc_id image_id, p % 32 x, cast(p div 32 as int) y, 255 a, ascii(c) % 256 r, 0 g, 0 b
-        from (select doc_id, posexplode(slice(split(substring(text, 1, 1024), ''), 1, cast(least(1024, n_chars) as int))) as (p, c) from documents where n_chars > 0)""",
-    "whole_doc": """select doc_id image_id, p % 32 x, cast(p div 32 as int) y, 255 a, ascii(c) % 256 r, 0 g, 0 b
         from (select doc_id, posexplode(slice(split(text, ''), 1, char_length(text))) as (p, c) from documents where char_length(text) > 0)""",
     "palette": "select n_nationkey idx, 255 a, (n_nationkey*37)%256 r, (n_nationkey*91+17)%256 g, (n_nationkey*151+5)%256 b from nation",
 }
-TABLES = {"gray": "embeddings", "rgba": "embeddings", "events": "events", "heat": "lineitem", "doc": "documents", "whole_doc": "documents", "palette": "nation"}
+TABLES = {"gray": "embeddings", "rgba": "embeddings", "events": "events", "heat": "lineitem", "doc": "documents", "palette": "nation"}
 
 DUCK = {
     "gray": f"select vec_id image_id, (i-1)%8 x, (i-1)//8 y, {QD.format('embedding[i]')} g from embeddings, range(1,65) t(i)",
     "rgba": f"select vec_id image_id, (i-1)%8 x, (i-1)//8 y, 255-(i-1)*3 a, {QD.format('embedding[i]')} r, {QD.format('embedding[65-i]')} g, {QD.format('embedding[(i*7)%64+1]')} b from embeddings, range(1,65) t(i)",
     "events": "select 0 image_id, event_id % 100 x, event_id // 100 y, 255 a, cast(least(255, greatest(0, floor(value*255/500))) as int) r, cast(user_id % 256 as int) g, length(event_type)*16 b from events",
     "heat": "select 0 image_id, l_linenumber-1 x, l_orderkey y, 255 a, cast(least(255, sum(l_quantity)) as int) r, 0 g, cast(count(*) as int) b from lineitem group by l_linenumber, l_orderkey",
-    "doc": "select doc_id image_id, (p-1)%32 x, (p-1)//32 y, 255 a, unicode(substring(text,p,1)) % 256 r, 0 g, 0 b from (select doc_id, text, unnest(range(1, least(1024, n_chars)+1)) p from documents where n_chars > 0)",
-    "whole_doc": "select doc_id image_id, (p-1)%32 x, (p-1)//32 y, 255 a, unicode(c) % 256 r, 0 g, 0 b from (select doc_id, unnest(string_split(text, '')) c, unnest(range(1, length(text)+1)) p from documents where length(text) > 0)",
+    "doc": "select doc_id image_id, (p-1)%32 x, (p-1)//32 y, 255 a, unicode(c) % 256 r, 0 g, 0 b from (select doc_id, unnest(string_split(text, '')) c, unnest(range(1, length(text)+1)) p from documents where length(text) > 0)",
     "palette": "select n_nationkey idx, 255 a, (n_nationkey*37)%256 r, (n_nationkey*91+17)%256 g, (n_nationkey*151+5)%256 b from nation",
 }
 
 
+#: The relation of documents by its other name.
+DUCK["whole_doc"] = DUCK["doc"]
+
+
 def pixels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table = TABLES[name]
     return spark.sql(SPARK[name].replace(f"from {table}", "from {source}"), source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))

@@ -14,6 +14,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.functions.color import GRAY
+from tessella.sources import jpeg
 
 
 class CodecError(ValueError):
@@ -55,7 +59,8 @@ def bits_of(rows: np.ndarray, bits: int, width: int) -> np.ndarray:
 # portable maps: P1..P6, P7 (arbitrary maps) and PF, Pf (floats)
 
 
-def pnm_decode(raw: bytes) -> list[np.ndarray]:
+def pnm_samples(raw: bytes) -> tuple[np.ndarray, int]:
+    """(whole numbers [h, w, channels] as the file has them, the largest that it allows). Floats have no such."""
     kind, at = raw[:2], 2
     if kind == b"P7":
         end = raw.index(b"ENDHDR\n") + 7
@@ -73,12 +78,6 @@ def pnm_decode(raw: bytes) -> list[np.ndarray]:
         w, h = int(fields[0]), int(fields[1])
         at += 1
         data, depth = raw, 3 if kind in (b"P3", b"P6") else 1
-        if kind in (b"PF", b"Pf"):
-            depth = 3 if kind == b"PF" else 1
-            scale = float(fields[2])
-            v = np.frombuffer(raw, "<f4" if scale < 0 else ">f4", w * h * depth, at).reshape(h, w, depth)[::-1]
-            v8 = np.rint(np.clip(v, 0, 1) * 255).astype(np.uint8)
-            return [from_rgb(v8) if depth == 3 else from_gray(v8[..., 0])]
         top = 1 if count == 2 else int(fields[2])
     if kind in (b"P1", b"P2", b"P3"):
         text = re.sub(rb"#[^\n]*", b"", data[at - 1 :])
@@ -91,8 +90,21 @@ def pnm_decode(raw: bytes) -> list[np.ndarray]:
         need(len(raw) >= at + w * h * depth * (2 if top > 255 else 1), "pixels end early")
         values = np.frombuffer(raw, ">u2" if top > 255 else np.uint8, w * h * depth, at).astype(np.int64)
     need(values.size == w * h * depth, "pixels end early")
-    v = values.reshape(h, w, depth)
-    if kind in (b"P1", b"P4"):
+    return values.reshape(h, w, depth), top
+
+
+def pnm_decode(raw: bytes) -> list[np.ndarray]:
+    """8-bit frames; `deep` reads the same files at their own depth."""
+    if raw[:2] in (b"PF", b"Pf"):
+        m = re.compile(rb"P[Ff]\s+(\d+)\s+(\d+)\s+(\S+)\s").match(raw)
+        need(bool(m), "header ends early")
+        w, h, depth = int(m[1]), int(m[2]), 3 if raw[:2] == b"PF" else 1
+        v = np.frombuffer(raw, "<f4" if float(m[3]) < 0 else ">f4", w * h * depth, m.end()).reshape(h, w, depth)[::-1]
+        v8 = np.rint(np.clip(v, 0, 1) * 255).astype(np.uint8)
+        return [from_rgb(v8) if depth == 3 else from_gray(v8[..., 0])]
+    v, top = pnm_samples(raw)
+    depth = v.shape[2]
+    if raw[:2] in (b"P1", b"P4"):
         return [from_gray(((1 - v[..., 0]) * 255).astype(np.uint8))]
     v = (v * 255 // top).astype(np.uint8) if top != 255 else v.astype(np.uint8)
     if depth in (1, 2):
@@ -107,7 +119,7 @@ def ppm_encode(frames: list[np.ndarray]) -> bytes:
 
 def pgm_encode(frames: list[np.ndarray]) -> bytes:
     p = frames[0]
-    gray = np.rint(p[..., 1:] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+    gray = np.rint(GRAY[0] * p[..., 1] + GRAY[1] * p[..., 2] + GRAY[2] * p[..., 3]).astype(np.uint8)
     return b"P5\n%d %d\n255\n" % (p.shape[1], p.shape[0]) + gray.tobytes()
 
 
@@ -390,7 +402,8 @@ def png_unfilter(data: bytes, h: int, line: int, step: int) -> np.ndarray:
 ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
 
 
-def png_pixels(data: bytes, w: int, h: int, bits: int, kind: int, laced: int, palette: np.ndarray | None, clear: bytes | None) -> np.ndarray:
+def png_samples(data: bytes, w: int, h: int, bits: int, kind: int, laced: int) -> np.ndarray:
+    """[h, w, channels] as the file has them."""
     parts = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     step = max(1, parts * bits // 8)
     raw, out, at = zlib.decompress(data), np.zeros((h, w, parts), np.uint16), 0
@@ -403,6 +416,12 @@ def png_pixels(data: bytes, w: int, h: int, bits: int, kind: int, laced: int, pa
         at += ph * (line + 1)
         v = rows.view(">u2")[:, : pw * parts] if bits == 16 else bits_of(rows, bits, pw * parts)
         out[y0::dy, x0::dx] = v.reshape(ph, pw, parts)
+    return out
+
+
+def png_pixels(data: bytes, w: int, h: int, bits: int, kind: int, laced: int, palette: np.ndarray | None, clear: bytes | None) -> np.ndarray:
+    out = png_samples(data, w, h, bits, kind, laced)
+    parts = out.shape[2]
     to8 = lambda v: (v >> 8 if bits == 16 else v.astype(int) * 255 // ((1 << bits) - 1)).astype(np.uint8)
     if kind == 3:
         need(palette is not None, "no palette")
@@ -570,7 +589,8 @@ def pcx_decode(raw: bytes) -> list[np.ndarray]:
 # Radiance
 
 
-def hdr_decode(raw: bytes) -> list[np.ndarray]:
+def hdr_floats(raw: bytes) -> np.ndarray:
+    """[h, w, 3] red, green, blue."""
     end = raw.index(b"\n\n") + 2
     m = re.compile(rb"-Y (\d+) \+X (\d+)\n").match(raw, end)
     need(bool(m), "unknown orientation")
@@ -590,16 +610,24 @@ def hdr_decode(raw: bytes) -> list[np.ndarray]:
             out[y] = np.frombuffer(raw, np.uint8, w * 4, at).reshape(w, 4)
             at += w * 4
     scale = np.where(out[..., 3:] > 0, np.ldexp(1.0, out[..., 3:].astype(int) - 136), 0)
-    return [from_rgb(np.rint(np.clip(out[..., :3] * scale, 0, 1) * 255).astype(np.uint8))]
+    return out[..., :3] * scale
+
+
+def hdr_decode(raw: bytes) -> list[np.ndarray]:
+    """8-bit frames; `deep` reads the same files as floats."""
+    return [from_rgb(np.rint(np.clip(hdr_floats(raw), 0, 1) * 255).astype(np.uint8))]
 
 
 def hdr_encode(frames: list[np.ndarray]) -> bytes:
-    p = frames[0]
-    v = p[..., 1:] / 255
+    return hdr_bytes(frames[0][..., 1:] / 255)
+
+
+def hdr_bytes(v: np.ndarray) -> bytes:
+    """A file of [h, w, 3] red, green, blue, none below 0."""
     mantissa, exponent = np.frexp(v.max(2))
     scale = np.where(v.max(2) > 0, mantissa * 256 / np.where(v.max(2) > 0, v.max(2), 1), 0)
     rgbe = np.concatenate([np.minimum(255, np.rint(v * scale[..., None])), np.where(v.max(2) > 0, exponent + 128, 0)[..., None]], 2).astype(np.uint8)
-    return b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y %d +X %d\n" % p.shape[:2] + rgbe.tobytes()
+    return b"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y %d +X %d\n" % v.shape[:2] + rgbe.tobytes()
 
 
 @dataclass(frozen=True)
@@ -610,6 +638,16 @@ class Codec:
     decode: Callable[[bytes], list[np.ndarray]]
     encode: Callable[[list[np.ndarray]], bytes] | None = None
     many: bool = False
+    #: an encoder whose files don't give back the same pixels
+    lossy: Callable[[list[np.ndarray]], bytes] | None = None
+
+    @property
+    def writes(self) -> Callable[..., bytes] | None:
+        return self.encode or self.lossy
+
+    @property
+    def masks(self) -> list[str]:
+        return [f"*.{e}" for e in self.extensions]
 
 
 #: In the order of detection.
@@ -983,3 +1021,48 @@ CODECS[3:3] = [
     Codec("psd", ("psd", "pdd"), lambda b: b[:4] == b"8BPS", psd_decode, psd_encode),
     Codec("tiff", ("tif", "tiff"), lambda b: b[:4] in (b"II*\0", b"MM\0*"), tiff_decode, tiff_encode, True),
 ]
+
+
+register(Codec("jpeg", ("jpg", "jpeg", "jfif", "jpe", "jif"), lambda b: b[:3] == b"\xff\xd8\xff", jpeg.decode, lossy=jpeg.encode))
+
+
+# the registry as a table
+
+
+def supported(name: str) -> bool:
+    """Whether some codec's masks fit a file's name; the file needn't exist."""
+    return by_extension(name) is not None
+
+
+def by_name(kind: str) -> Codec | None:
+    """The first codec registered under a name."""
+    return next((c for c in CODECS if c.name == kind), None)
+
+
+def listing(spark: SparkSession) -> DataFrame:
+    """(place, name, extension, masks, can_save, many) of all codecs, in the order of their registration."""
+    rows = [(i, c.name, c.extensions[0], ";".join(c.masks), c.writes is not None, c.many) for i, c in enumerate(CODECS)]
+    return spark.createDataFrame(rows, "place int, name string, extension string, masks string, can_save boolean, many boolean")
+
+
+def dialog_filter(opening: bool = True) -> str:
+    """`All Images (...)|...|name (masks)|masks|...` for a file dialog; saving has the formats that can be written, and no first entry."""
+    some = [c for c in CODECS if opening or c.writes]
+    entries = [(c.name, ";".join(c.masks)) for c in some]
+    if opening:
+        entries.insert(0, ("All Images", ";".join(m for _, m in entries)))
+    return "|".join(f"{name} ({masks})|{masks}" for name, masks in entries)
+
+
+def filter_extension(index: int, opening: bool = True) -> str:
+    """The first extension of the filter's entry (from 1 on); empty for that of all images, and for what isn't there."""
+    some = [c for c in CODECS if opening or c.writes]
+    at = index - 1 - opening
+    return some[at].extensions[0] if 0 <= at < len(some) else ""
+
+
+def filter_index(name: str, opening: bool = True) -> int:
+    """The filter's entry (from 1 on) for a file's name, 0 if none fits."""
+    extension = name.rpartition(".")[2].lower()
+    some = [c for c in CODECS if opening or c.writes]
+    return next((i + 1 + opening for i, c in enumerate(some) if extension in c.extensions), 0)

@@ -6,14 +6,16 @@ run in Arrow batches on executors, a few files at a time. A frame row holds alph
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources import codecs
+from tessella.sources import codecs, formats
 
 FRAMES = "path string, frame_idx int, width int, height int, format string, bits binary, error string"
 
@@ -103,13 +105,16 @@ def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     return pixels.select(key, "x", "y", "a", "r", "g", "b").groupBy(key).applyInArrow(run, f"{key} {kind}, width int, height int, bits binary")
 
 
-def encode(frames: DataFrame, kind: str, key: str = "image_id", frame: str | None = None) -> DataFrame:
+def encode(frames: DataFrame, kind: str, key: str = "image_id", frame: str | None = None, **options) -> DataFrame:
     """(key, content): a file for each image in a format that can be written. frame: the column of the frames' order; formats
-    without frames take the first."""
-    codec = next((c for c in codecs.CODECS if c.name == kind), None) or codecs.by_extension(f".{kind}")
-    if codec is None or codec.encode is None:
+    without frames take the first. options: arguments of the format's encoder (quality, progressive, runs, delay, kind ...)."""
+    codec = codecs.by_name(kind) or codecs.by_extension(f".{kind}")
+    if codec is None or codec.writes is None:
         raise ValueError(f"{kind} can't be written")
-    make = codec.encode
+    known = set(inspect.signature(codec.writes).parameters)
+    if unknown := set(options) - known:
+        raise ValueError(f"{kind} has no option {', '.join(sorted(unknown))}")
+    make = partial(codec.writes, **options)
     shape = lambda w, h, b: np.frombuffer(b, np.uint8).reshape(h, w, 4)
     schema = f"{key} {frames.schema[key].dataType.simpleString()}, content binary"
     if frame is None:
@@ -131,14 +136,19 @@ def encode(frames: DataFrame, kind: str, key: str = "image_id", frame: str | Non
 
 def write_files(table: DataFrame, folder: str, name: str = "name") -> list[str]:
     """Writes (name, content) rows as files under a folder that executors reach; a file appears whole or not at all. Returns how
-    many rows each task wrote, as text."""
+    many rows each task wrote, as text. A folder without a scheme lies on the file system that Spark's own writes go to."""
+    sc = table.sparkSession.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    if folder.startswith("file:"):
+        folder = "file:///" + folder[5:].lstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         done = 0
         for batch in batches:
@@ -185,7 +195,7 @@ def write_raw(frames: DataFrame, key: str, kind: str = "A8R8G8B8", offset: int =
     def raw(w: int, h: int, bits: bytes) -> bytes:
         p = np.frombuffer(bits, np.uint8).reshape(h, w, 4)
         if order == "g":
-            v = np.rint(p[..., 1:] @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)[..., None]
+            v = np.rint(formats.level_of(p.reshape(-1, 4)[:, 1:])).astype(np.uint8).reshape(h, w, 1)
         else:
             v = p[..., [{"a": 0, "r": 1, "g": 2, "b": 3, "x": 0}[c] for c in order]]
         line = row_length or w * len(order)
@@ -199,3 +209,72 @@ def write_raw(frames: DataFrame, key: str, kind: str = "A8R8G8B8", offset: int =
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(made, pa.binary())], names=[key, "content"])
 
     return frames.select(key, "width", "height", "bits").mapInArrow(run, f"{key} {frames.schema[key].dataType.simpleString()}, content binary")
+
+
+# typed frames (see formats) without headers
+
+
+def read_raw_typed(table: DataFrame, width: int, height: int, pixel_format: str, offset: int = 0, row_length: int = 0) -> DataFrame:
+    """Typed frames of headerless rasters (path, content) in any plain pixel format. A raster that ends early is an error."""
+    size = width * formats.named(pixel_format).size
+    line = row_length or size
+
+    def rows(raw: bytes) -> bytes:
+        if len(raw) < offset + line * (height - 1) + size:
+            raise codecs.CodecError("pixels end early")
+        return b"".join(raw[offset + y * line : offset + y * line + size] for y in range(height))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([rows(raw.as_py()) for raw in batch.column("content")], pa.binary())], names=["path", "bits"])
+
+    made = table.select("path", "content").mapInArrow(run, "path string, bits binary")
+    return made.select("path", F.lit(0).alias("frame_idx"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(pixel_format).alias("pixel_format"), "bits", F.lit(None).cast("binary").alias("palette"))
+
+
+def write_raw_typed(frames: DataFrame, key: str, offset: int = 0, row_length: int = 0) -> DataFrame:
+    """(key, content): headerless rasters of typed frames, zeros before the offset and between rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for w, name, bits in zip(*(b.column(c).to_pylist() for c in ("width", "pixel_format", "bits"))):
+                size = w * formats.named(name).size
+                made.append(bytes(offset) + b"".join(bits[at : at + size].ljust(row_length, b"\0") for at in range(0, len(bits), size)))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(made, pa.binary())], names=[key, "content"])
+
+    return frames.select(key, "width", "pixel_format", "bits").mapInArrow(run, f"{key} {frames.schema[key].dataType.simpleString()}, content binary")
+
+
+def read_raw_rect(frames: DataFrame, table: DataFrame, key: str, left: int, top: int, width: int, height: int, offset: int = 0, row_length: int = 0) -> DataFrame:
+    """Typed frames with a rectangle overwritten from headerless rasters (key, content) in their own pixel format; frames without a
+    raster stay. The rectangle lies within the frames."""
+    both = frames.join(table.select(key, F.col("content").alias("_raw")), key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for w, name, bits, raw in zip(*(b.column(c).to_pylist() for c in ("width", "pixel_format", "bits", "_raw"))):
+                size = formats.named(name).size
+                if raw is not None:
+                    out = np.frombuffer(bits, np.uint8).reshape(-1, w * size).copy()
+                    line = row_length or width * size
+                    for y in range(height):
+                        out[top + y, left * size : (left + width) * size] = np.frombuffer(raw, np.uint8, width * size, offset + y * line)
+                    bits = out.tobytes()
+                made.append(bits)
+            kept = b.drop_columns(["_raw"])
+            yield kept.set_column(kept.schema.get_field_index("bits"), "bits", pa.array(made, pa.binary()))
+
+    return both.mapInArrow(run, frames.select(*[c for c in both.columns if c != "_raw"]).schema)
+
+
+def write_raw_rect(frames: DataFrame, key: str, left: int, top: int, width: int, height: int, offset: int = 0, row_length: int = 0) -> DataFrame:
+    """(key, content): a rectangle of typed frames as headerless rasters."""
+
+    def cut(w: int, h: int, name: str, bits: bytes, palette: bytes | None) -> tuple:
+        size = formats.named(name).size
+        rows = np.frombuffer(bits, np.uint8).reshape(h, w * size)[top : top + height, left * size : (left + width) * size]
+        return width, height, name, rows.tobytes(), palette
+
+    return write_raw_typed(formats.over_frames(frames, cut), key, offset, row_length)
