@@ -49,14 +49,28 @@ def shifted(value: Column, by: int, window) -> Column:
     return F.coalesce(*(step(value, n).over(window) for n in range(abs(by), 0, -1)), value) if by else value
 
 
+def gap(axis: str, window) -> Column:
+    """How far the pixel before lies along an axis; 1 for the first."""
+    return F.coalesce(F.col(axis) - F.lag(axis).over(window), F.lit(1))
+
+
+def checked(value: Column, *gaps: Column) -> Column:
+    """The value, or an error if pixels are missing or repeated: neighbours are found by their order, so an image must be whole."""
+    wrong = F.lit(False)
+    for g in gaps:
+        wrong = wrong | (g != 1)
+    return F.when(wrong, F.raise_error(F.lit("an image has missing or repeated pixels"))).otherwise(value)
+
+
 def convolve(pixels: DataFrame, kernel: list[list[int]], divisor: int = 1, bias: float = 0.0, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Sums of whole numbers, scaled and rounded half to even once; other columns, alpha among them, stay."""
+    """Sums of whole numbers, scaled and rounded half to even once; other columns, alpha among them, stay. An image without some
+    of its pixels is an error."""
     k = len(kernel)
     half, out = k // 2, pixels
     rows = {(c, i): sum((w * shifted(F.col(c).cast("long"), j - half, across()) for j, w in enumerate(row) if w), F.lit(0).cast("long")) for c in channels for i, row in enumerate(kernel) if any(row)}
-    out = out.withColumns({f"_{c}{i}": v for (c, i), v in rows.items()})
+    out = out.withColumns({f"_{c}{i}": v for (c, i), v in rows.items()} | {"_gap": gap("x", across())})
     total = {c: sum((shifted(F.col(f"_{c}{i}"), i - half, down()) for i in range(k) if (c, i) in rows), F.lit(0).cast("long")) for c in channels}
-    scaled = {c: clamp(F.bround(v / max(1, divisor) + bias * 255)) for c, v in total.items()}
+    scaled = {c: checked(clamp(F.bround(v / max(1, divisor) + bias * 255)), F.col("_gap"), gap("y", down())) for c, v in total.items()}
     return out.withColumns(scaled).select(*pixels.columns)
 
 
@@ -65,15 +79,15 @@ def filtered(pixels: DataFrame, name: str, channels: tuple[str, ...] = ("r", "g"
 
 
 def neighbours(pixels: DataFrame, value: Column, offsets: list[tuple[int, int]]) -> DataFrame:
-    """pixels with _around: the values at (dx, dy), rows first, edges clamped."""
+    """pixels with _around: the values at (dx, dy), rows first, edges clamped. An image without some of its pixels is an error."""
     out = pixels
     by_row = {}
     for dx, dy in offsets:
         by_row.setdefault(dy, []).append(dx)
     out = out.withColumn("_v", value)
-    out = out.withColumns({f"_row{i}": F.array(*(shifted(F.col("_v"), dx, across()) for dx in sorted(dxs))) for i, (_, dxs) in enumerate(sorted(by_row.items()))})
+    out = out.withColumns({f"_row{i}": F.array(*(shifted(F.col("_v"), dx, across()) for dx in sorted(dxs))) for i, (_, dxs) in enumerate(sorted(by_row.items()))} | {"_gap": gap("x", across())})
     around = F.concat(*(shifted(F.col(f"_row{i}"), dy, down()) for i, dy in enumerate(sorted(by_row))))
-    return out.withColumn("_around", around).drop("_v", *(f"_row{i}" for i in range(len(by_row))))
+    return out.withColumn("_around", checked(around, F.col("_gap"), gap("y", down()))).drop("_v", "_gap", *(f"_row{i}" for i in range(len(by_row))))
 
 
 def square(size: int) -> list[tuple[int, int]]:

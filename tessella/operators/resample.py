@@ -83,7 +83,8 @@ def one_way(pixels: DataFrame, axis: str, table: DataFrame, channels: tuple[str,
 
 
 def resample(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], kind: str, channels: tuple[str, ...] = ("a", "r", "g", "b"), start: tuple[int, int] = (0, 0)) -> DataFrame:
-    """The rectangle of `size` at `start`, resampled to `to`: first down, then across; rounded half to even once."""
+    """The rectangle of `size` at `start`, resampled to `to`: first down, then across; rounded half to even once. All images are of
+    that size (`resize_sized` takes any); a pixel beyond the rectangle has no weight."""
     spark = pixels.sparkSession
     down = one_way(pixels.select("image_id", "x", "y", *channels), "y", weight_table(spark, size[1], to[1], kind, start[1]), channels)
     across = one_way(down, "x", weight_table(spark, size[0], to[0], kind, start[0]), channels)
@@ -97,7 +98,7 @@ def nearest(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], chann
     for axis, src, dst in (("x", size[0], to[0]), ("y", size[1], to[1])):
         step = (src << 16) // dst
         table = spark.createDataFrame([(i, i * step >> 16) for i in range(dst)], "_dst int, _src int")
-        out = out.join(F.broadcast(table), F.col(axis) == F.col("_src")).withColumn(axis, F.col("_dst")).drop("_dst", "_src")
+        out = out.join(F.broadcast(table) if dst <= MOST_WEIGHTS else table, F.col(axis) == F.col("_src")).withColumn(axis, F.col("_dst")).drop("_dst", "_src")
     return out
 
 
@@ -108,6 +109,26 @@ def resize(pixels: DataFrame, size: tuple[int, int], to: tuple[int, int], how: s
     return nearest(pixels, size, to, **more) if how == "nearest" else resample(pixels, size, to, RESIZE.get(how, how), **more)
 
 
+#: Different sizes of images that are resized in one call.
+MOST_SIZES = 1000
+
+
+def resize_sized(pixels: DataFrame, to: tuple[int, int], how: str = "bilinear", **more) -> DataFrame:
+    """Images of any sizes to one: those of a size are resized together. The sizes, MOST_SIZES at most, are found by an aggregate."""
+    from tessella.operators.geometry import sizes
+
+    known = sizes(pixels)
+    found = sorted((r.width, r.height) for r in known.select("width", "height").distinct().limit(MOST_SIZES + 1).collect())
+    if len(found) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} sizes of images")
+    out, placed = None, pixels.join(known, "image_id") if len(found) > 1 else pixels
+    for w, h in found:
+        own = placed.where((F.col("width") == w) & (F.col("height") == h)).drop("width", "height") if len(found) > 1 else placed
+        one = resize(own, (w, h), to, how, **more)
+        out = one if out is None else out.unionByName(one)
+    return pixels if out is None else out
+
+
 def fit_size(size: tuple[int, int], box: tuple[int, int]) -> tuple[int, int]:
     """The largest size of the same proportions within the box, at least one pixel each way."""
     scale = min(box[0] / size[0], box[1] / size[1])

@@ -15,7 +15,7 @@ from tessella.functions import color, helpers
 from tessella.operators import analysis, blocks, compose, drawing, frames, geometry, neighborhood, palette, point, resample
 from tessella.plans import formats_catalog
 from tessella.plans.fixtures import DUCK
-from tessella.plans.registry import ARGB, S8, QUERIES, SQL, XY, add, c8, each, over_table
+from tessella.plans.registry import ARGB, S8, QUERIES, SQL, XY, add, block_sql, c8, each, over_table
 
 FLAGSHIP = "convolve_gauss3"
 def size_join(select: str, where: str = "") -> str:
@@ -304,7 +304,7 @@ def through(kind: str) -> Callable:
 
 
 for kind in blocks.FORMATS:
-    add(f"block_{kind.lower()}", "rgba", through(kind), None, XY + ARGB)
+    add(f"block_{kind.lower()}", "rgba", through(kind), block_sql(kind), XY + ARGB)
 
 # stretched, then drawn over the mirror image: the upper left quarter over 6 x 6 pixels from (1, 2) on
 PART = resized_sql("(select * from p where x < 4 and y < 4)", (4, 4), (6, 6), "linear", "argb")

@@ -11,7 +11,7 @@ from tessella import model, options
 from tessella.functions import color, helpers, meta
 from tessella.functions.color import PACKED
 from tessella.operators import analysis, drawing, frames, geometry, palette, point, resample
-from tessella.plans.registry import ARGB, S8, XY, add, c8, over_table
+from tessella.plans.registry import ARGB, S8, XY, add, block_sql, btc_sql, c8, level_sql, over_table
 from tessella.sources import codecs, deep, formats, images
 
 # files: what an encoder writes, read again
@@ -131,6 +131,15 @@ def gray_sql(alpha: bool, level: str, shown: str = "{}") -> str:
     return f"select image_id, x, y, {'a' if alpha else '255'} as a, {v} as r, {v} as g, {v} as b from p"
 
 
+LEVEL = "(select image_id, x, y, a, " + GRAY + " as v from p)"
+
+
+def half_sql(c: str) -> str:
+    """An 8-bit channel by half precision: the nearest of 2048 steps of its power of two, then 16 bits, cut to 8."""
+    step = f"power(2e0, floor(log2(greatest({c}, 1) / 255e0)) - 10)"
+    return f"(round_even(floor({c} / 255e0 / {step} + 0.5e0) * {step} * 65535, 0)::bigint * 255 // 65535)"
+
+
 def conversion_sql(name: str) -> str | None:
     f = formats.named(name)
     if name in PACKED:
@@ -140,12 +149,17 @@ def conversion_sql(name: str) -> str | None:
     if f.kind == "gray":
         return gray_sql(f.alpha, GRAY) if name == "Gray8" else gray_sql(f.alpha, f"({G16} * 255 // 65535)")
     if f.kind == "float":
+        shown = half_sql if f.size in (2, 8) else str
         if name in ("R32F", "R16F"):
-            return "select image_id, x, y, 255 as a, r, 0 as g, 0 as b from p" if name == "R32F" else None
-        return None if f.size == 8 else (SAME if f.alpha else SOLID)
+            return f"select image_id, x, y, 255 as a, {shown('r')} as r, 0 as g, 0 as b from p"
+        return f"select image_id, x, y, {shown('a') if f.alpha else 255} as a, " + ", ".join(f"{shown(c)} as {c}" for c in "rgb") + " from p"
     if name == "Binary":
         return gray_sql(False, f"(case when {GRAY} > 128 then 255 else 0 end)")
-    return None
+    if name == "BTC":
+        return f"select image_id, x, y, 255 as a, w as r, w as g, w as b from {btc_sql('v', LEVEL)}"
+    if name == "ATI1N":
+        return f"select image_id, x, y, 255 as a, w as r, w as g, w as b from {level_sql('v', LEVEL, 'w')}"
+    return block_sql(name) if f.kind == "block" else None
 
 
 def there_and_back(name: str, via: tuple[str, ...] = ()):
@@ -181,7 +195,6 @@ add("samples_a32r32g32b32f", "rgba", sampled("A32R32G32B32F"), FLOATS, XY, ARGB)
 add("samples_a32b32g32r32f", "rgba", sampled("A32B32G32R32F"), FLOATS, XY, ARGB)
 add("samples_gray16", "rgba", sampled("Gray16"), f"select image_id, x, y, 65535 as a, {G16} as r, {G16} as g, {G16} as b from p", XY, ARGB)
 # between classes: the gray value of 8 bits stands in one channel more
-LEVEL = "(select image_id, x, y, a, " + GRAY + " as v from p)"
 add("samples_gray8_gray16", "rgba", sampled("Gray16", ("Gray8",)), f"select image_id, x, y, 65535 as a, v << 8 as r, v << 8 as g, v << 8 as b from {LEVEL}", XY, ARGB)
 add("samples_gray8_a16gray16", "rgba", sampled("A16Gray16", ("Gray8",)), f"select image_id, x, y, 65535 as a, v * 257 as r, v * 257 as g, v * 257 as b from {LEVEL}", XY, ARGB)
 add("samples_gray8_index8", "rgba", sampled("Index8", ("Gray8",)), f"select image_id, x, y, 255 as a, v as r, v as g, v as b from {LEVEL}", XY, ARGB)
@@ -404,3 +417,7 @@ over_table("clip_stretch_bounds", "part", stretch,
 # compositions
 add("deskew", "gray", lambda p: analysis.deskew(p.select(*XY, F.lit(255).alias("a"), *(F.col("g").alias(c) for c in "rgb"))), None, XY + ARGB)
 add("resize_frames", "rgba", lambda p: frames.each(framed(p), lambda q: resample.nearest(q, (8, 8), (5, 5))), f"select image_id, frame_idx, t.i as x, u.i as y, a, r, g, b from {FRAMED} join range(5) t(i) on ((t.i * (524288 // 5)) >> 16) = x join range(5) u(i) on ((u.i * (524288 // 5)) >> 16) = y", XYF + ARGB)
+# images of two sizes: every second one without its last three columns
+TWO = "(select * from p where image_id % 2 = 0 or x < 5)"
+add("resize_sizes", "rgba", lambda p: resample.resize_sized(p.where((F.col("image_id") % 2 == 0) | (F.col("x") < 5)), (4, 4), "nearest"),
+    f"select image_id, t.i as x, u.i as y, a, r, g, b from {TWO} join range(4) t(i) on ((t.i * (case when image_id % 2 = 0 then 524288 // 4 else 327680 // 4 end)) >> 16) = x join range(4) u(i) on ((u.i * (524288 // 4)) >> 16) = y", XY + ARGB)

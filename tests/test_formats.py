@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella import model, options
 from tessella.functions import color, helpers
-from tessella.operators import analysis, frames, palette
+from tessella.operators import analysis, frames, neighborhood, palette
 from tessella.sources import codecs, deep, formats, images, jpeg
 
 RNG = np.random.default_rng(42)
@@ -208,3 +208,12 @@ def test_frames_and_bounds(spark):
     one = spark.range(1)
     made = helpers.copy_bounds((F.lit(-2), F.lit(0)), (F.lit(10), F.lit(4)), (F.lit(3), F.lit(-1)), (F.lit(6), F.lit(9)), (F.lit(0), F.lit(0), F.lit(8), F.lit(2)))
     assert one.select(*(made[c] for c in ("src_x", "dst_x", "width", "src_y", "dst_y", "height"))).first()[:] == (0, 5, 3, 1, 0, 2)
+
+
+def test_missing_pixels_are_an_error(spark):
+    whole = spark.createDataFrame([(1, x, y, 5) for x in range(4) for y in range(3)], "image_id long, x int, y int, g int")
+    assert neighborhood.filtered(whole, "gauss3", ("g",)).count() == 12
+    for gone in ("x <> 2", "y <> 1", "not (x = 1 and y = 1)"):
+        for f in (lambda p: neighborhood.filtered(p, "gauss3", ("g",)), lambda p: neighborhood.rank(p, "median", 3, ("g",))):
+            with pytest.raises(Exception, match="missing or repeated"):
+                f(whole.where(gone)).collect()
