@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,10 +66,24 @@ def skew_angle(pixels: DataFrame, most: int = 10, level: int = 128, channel: str
     under = F.lead(channel).over(Window.partitionBy("image_id", "x").orderBy("y"))
     edge = pixels.withColumn("_under", under).where((F.col(channel) < level) & (F.coalesce(F.col("_under"), F.lit(255)) >= level))
     steps = int(2 * most / step) + 1
-    turn = F.radians((F.col("i") * step - most).cast("double"))
-    votes = edge.select("image_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i"))
-    place = F.floor(F.round(F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn), 6)).cast("int")
-    cells = votes.groupBy("image_id", "i", place.alias("d")).agg(F.count("*").alias("n"))
+    turns = np.radians(np.arange(steps) * step - most)
+    cos, sin = np.cos(turns), np.sin(turns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the votes of a batch are counted before they leave it
+            ids = batch.column("image_id").dictionary_encode()
+            x, y = (batch.column(c).to_numpy().astype(float)[:, None] for c in "xy")
+            place = np.floor(np.round(y * cos - x * sin, 6)).astype(np.int64)
+            if not place.size:
+                continue
+            low, span = place.min(), int(place.max() - place.min()) + 1
+            cell = (ids.indices.to_numpy().astype(np.int64)[:, None] * steps + np.arange(steps)) * span + place - low
+            cell, n = np.unique(cell, return_counts=True)
+            which, line = np.divmod(cell, steps * span)
+            yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(which)), pa.array((line // span).astype(np.int32)), pa.array(line % span + low), pa.array(n)], names=["image_id", "i", "d", "n"])
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    cells = edge.select("image_id", "x", "y").mapInArrow(run, f"image_id {kind}, i int, d long, n long").groupBy("image_id", "i", "d").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("image_id").orderBy(F.desc("n"), "i", "d")
     lines = cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     return lines.groupBy("image_id").agg((F.sum("i") / F.count("*") * step - most).alias("angle"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARGB = ("a", "r", "g", "b")
 #: Weights of the sides of a box of colours when the side to be cut is chosen.
@@ -35,15 +39,26 @@ def custom_palette(spark: SparkSession, bits: tuple[int, int, int], entries: int
 def map_to_palette(pixels: DataFrame, palette: DataFrame, entries: int = 256) -> DataFrame:
     """pixels with idx, the palette's nearest entry by the sum of differences, the first among equal ones.
 
-    A palette has `entries` (256) rows at most, which is checked where it is collected; it becomes a constant array, so that
-    mapping is a projection, of each pixel by itself, without a shuffle."""
+    A palette has `entries` (256) rows at most, which is checked where it is collected; the different colours of an Arrow batch are
+    mapped at once, without a shuffle. A column already called idx is replaced; an empty palette gives nulls."""
     rows = palette.orderBy("idx").limit(entries + 1).collect()
     if len(rows) > entries:
         raise ValueError(f"a palette has {entries} entries at most")
-    constant = F.array(*(F.struct(F.lit(r["idx"]).alias("idx"), *(F.lit(r[c]).alias(c) for c in ARGB)) for r in rows))
-    gap = lambda p: sum((F.abs(p[c] - F.col(c)) for c in "rgb"), F.abs(p["a"] - F.col("a")))
-    nearest = F.array_min(F.transform(constant, lambda p: F.struct(gap(p).alias("d"), p["idx"].alias("idx"))))["idx"]
-    return pixels.withColumn("idx", nearest)
+    table, numbers = np.array([[r[c] for c in ARGB] for r in rows], np.int64).reshape(-1, 4), np.array([r["idx"] for r in rows], np.int32)
+    kept = pixels.drop("idx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            colors = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ARGB], 1)
+            distinct, back = np.unique(colors, axis=0, return_inverse=True)
+            nearest = np.zeros(len(distinct), np.int64)
+            for at in range(0, len(distinct), 2048):
+                if len(table):
+                    nearest[at : at + 2048] = np.abs(distinct[at : at + 2048, None] - table).sum(2).argmin(1)
+            found = pa.array(numbers[nearest[back.ravel()]], pa.int32()) if len(table) else pa.nulls(batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "idx"])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("idx", T.IntegerType())]))
 
 
 def has_alpha(palette: DataFrame) -> DataFrame:

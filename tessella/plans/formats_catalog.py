@@ -34,6 +34,8 @@ for kind, sql in (
     ("gif", "select image_id, x, y, case when a < 128 then 0 else 255 end as a, " + ", ".join(f"case when a < 128 then 0 else {c} end as {c}" for c in "rgb") + " from p"),
 ):
     add(f"codec_{kind}", "rgba", through_codec(kind), sql, XY + ARGB)
+for packing, tile in (("lzw", 0), ("none", 16)):
+    add(f"codec_tiff_{packing}", "rgba", through_codec("tiff", packing=packing, tile=tile), SAME, XY + ARGB)
 add("codec_tga_runs", "rgba", through_codec("tga", runs=True), SAME, XY + ARGB)
 
 
@@ -243,6 +245,7 @@ for kind, name, sql in (
     ("png", "A16R16G16B16", WIDE.format(a="a * 257")), ("png", "R16G16B16", WIDE.format(a="65535")), ("png", "Gray16", GRAY_WIDE.format(a="65535")), ("png", "A16Gray16", GRAY_WIDE.format(a="a * 257")),
     ("png", "R8G8B8", WIDE.format(a="65535")), ("pam", "A16R16G16B16", WIDE.format(a="a * 257")), ("ppm", "R16G16B16", WIDE.format(a="65535")), ("pgm", "Gray16", GRAY_WIDE.format(a="65535")),
     ("pfm", "R32G32B32F", "select image_id, x, y, 1 as a, " + ", ".join(f"{SINGLE.format(c)} as {c}" for c in "rgb") + " from p"), ("pfm", "R32F", f"select image_id, x, y, 1 as a, {SINGLE.format('r')} as r, 0 as g, 0 as b from p"),
+    ("tiff", "A16R16G16B16", WIDE.format(a="a * 257")), ("tiff", "Gray16", GRAY_WIDE.format(a="65535")), ("tiff", "A32R32G32B32F", FLOATS), ("tiff", "R8G8B8", WIDE.format(a="65535")),
 ):
     add(f"deep_{kind}_{name.lower()}", "rgba", through_deep(kind, name), sql, XY, ARGB)
 add("deep_png_index8", "rgba", lambda p: through_deep("png", "Index8")(p.select(*XY, F.lit(255).alias("a"), *(color.gray().alias(c) for c in "rgb"))), f"select image_id, x, y, 255 as a, v as r, v as g, v as b from {LEVEL}", XY, ARGB)

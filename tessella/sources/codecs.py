@@ -957,7 +957,89 @@ def psd_encode(frames: list[np.ndarray]) -> bytes:
 # TIFF: baseline strips, plain or packed
 
 
-def tiff_decode(raw: bytes) -> list[np.ndarray]:
+def tiff_lzw_decode(data: bytes, total: int) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first, that grow one code early."""
+    table, width, last, out = [], 9, b"", bytearray()
+    hold = held = at = 0
+    while len(out) < total:
+        while held < width:
+            if at >= len(data):
+                return bytes(out)
+            hold = (hold & 0xFFFF) << 8 | data[at]
+            held, at = held + 8, at + 1
+        code = hold >> (held - width) & ((1 << width) - 1)
+        held -= width
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code == 257:
+            break
+        need(code < len(table) or (code == len(table) and bool(last)), "bad code")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last and len(table) < 4096:
+            table.append(last + entry[:1])
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+        last = entry
+    return bytes(out)
+
+
+def tiff_lzw_encode(data: bytes) -> bytes:
+    table, out, hold, held = {}, bytearray(), 0, 0
+
+    def put(code: int) -> None:
+        nonlocal hold, held
+        width = max(9, (len(table) + 258).bit_length()) if table else 9
+        hold, held = hold << width | code, held + width
+        while held >= 8:
+            held -= 8
+            out.append(hold >> held & 255)
+        hold &= (1 << held) - 1
+
+    put(256)
+    word = b""
+    for k in range(len(data)):
+        longer = word + data[k : k + 1]
+        if len(longer) == 1 or longer in table:
+            word = longer
+            continue
+        put(word[0] if len(word) == 1 else table[word])
+        table[longer] = len(table) + 258
+        word = data[k : k + 1]
+        if len(table) >= 4093 - 258:
+            put(word[0])
+            put(256)
+            table, word = {}, b""
+    if word:
+        put(word[0] if len(word) == 1 else table[word])
+        table[None] = 0  # the reader's table grows with every code
+    put(257)
+    if held:
+        out.append(hold << (8 - held) & 255)
+    return bytes(out)
+
+
+def tiff_unpacked(raw: bytes, at: int, size: int, packing: int, total: int) -> bytes:
+    part = raw[at : at + size]
+    if packing == 1:
+        return part
+    if packing == 5:
+        return tiff_lzw_decode(part, total)
+    return packbits(raw, at, size) if packing == 32773 else zlib.decompress(part)
+
+
+def tiff_rows(data: bytes, order: str, w: int, h: int, parts: int, bits: int, differences: bool) -> np.ndarray:
+    """[h, w, channels] of whole rows."""
+    line = (w * parts * bits + 7) // 8
+    need(len(data) >= line * h, "pixels end early")
+    rows = np.frombuffer(data, np.uint8, line * h).reshape(h, line)
+    v = bits_of(rows, bits, w * parts) if bits <= 8 else np.ascontiguousarray(rows).view(f"{order}u{bits // 8}")
+    v = v.reshape(h, w, parts)
+    return np.cumsum(v, 1, dtype=v.dtype) if differences and bits in (8, 16) else v
+
+
+def tiff_pages(raw: bytes) -> list[tuple[np.ndarray, int, int, bool, np.ndarray | None]]:
+    """(samples [h, w, channels], bits, what they mean, whether they are floats, palette) of each page, in strips or tiles."""
     order = "<" if raw[:2] == b"II" else ">"
     kinds = {1: "B", 2: "c", 3: "H", 4: "I"}
     at, out = struct.unpack_from(f"{order}I", raw, 4)[0], []
@@ -971,50 +1053,101 @@ def tiff_decode(raw: bytes) -> list[np.ndarray]:
                 place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{order}I", raw, at + 10 + 12 * k)[0]
                 tags[tag] = struct.unpack_from(f"{order}{n}{kinds[kind]}", raw, place)
         at = struct.unpack_from(f"{order}I", raw, at + 2 + 12 * count)[0]
-        w, h, bits, packing, meaning, parts = (tags.get(t, (d,))[0] for t, d in ((256, 0), (257, 0), (258, 1), (259, 1), (262, 1), (277, 1)))
-        need(packing in (1, 8, 32946, 32773) and bits in (1, 4, 8, 16) and w * h > 0, "unknown kind of strips")
-        data = b"".join(raw[o : o + n] if packing == 1 else zlib.decompress(raw[o : o + n]) if packing != 32773 else packbits(raw, o, n) for o, n in zip(tags[273], tags[279]))
-        line = (w * parts * bits + 7) // 8
-        need(len(data) >= line * h, "pixels end early")
-        rows = np.frombuffer(data, np.uint8, line * h).reshape(h, line)
-        if bits == 16:
-            v = (np.ascontiguousarray(rows).view(f"{order}u2") >> 8).astype(np.uint8)
+        get = lambda t, d, tags=tags: tags.get(t, (d,))[0]
+        w, h, bits, packing, meaning, parts = (get(t, d) for t, d in ((256, 0), (257, 0), (258, 1), (259, 1), (262, 1), (277, 1)))
+        floats, differences = get(339, 1) == 3, get(317, 1) == 2
+        need(packing in (1, 5, 8, 32946, 32773) and bits in (1, 4, 8, 16, 32) and w * h > 0 and (bits < 32 or floats) and get(284, 1) == 1, "unknown kind of strips")
+        if 322 in tags:
+            tw, th = get(322, 0), get(323, 0)
+            need(tw * th > 0, "tiles without a size")
+            v, across = np.zeros((-(-h // th) * th, -(-w // tw) * tw, parts), f"u{max(1, bits // 8)}"), -(-w // tw)
+            total = th * ((tw * parts * bits + 7) // 8)
+            for i, (o, n) in enumerate(zip(tags[324], tags[325])):
+                y, x = i // across * th, i % across * tw
+                v[y : y + th, x : x + tw] = tiff_rows(tiff_unpacked(raw, o, n, packing, total), order, tw, th, parts, bits, differences)
+            v = v[:h, :w]
         else:
-            v = bits_of(rows, bits, w * parts)
-        v = v.reshape(h, w, parts)
-        if tags.get(317, (1,))[0] == 2 and bits == 8:
-            v = np.cumsum(v, 1, dtype=np.uint8)
+            line, rows = (w * parts * bits + 7) // 8, min(h, get(278, h))
+            strips = [tiff_unpacked(raw, o, n, packing, line * min(rows, h - i * rows)) for i, (o, n) in enumerate(zip(tags[273], tags[279]))]
+            v = tiff_rows(b"".join(strips), order, w, h, parts, bits, differences)
+        table = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8) if 320 in tags else None
+        out.append((v, bits, meaning, floats, table))
+    need(bool(out), "no pages")
+    return out
+
+
+def tiff_decode(raw: bytes) -> list[np.ndarray]:
+    """8-bit frames; `deep` reads the same files at their own depth."""
+    out = []
+    for v, bits, meaning, floats, table in tiff_pages(raw):
+        parts = v.shape[2]
+        if floats:
+            need(bits == 32, "floats of a size that isn't read")
+            v = np.rint(np.clip(np.nan_to_num(np.ascontiguousarray(v).astype("<u4").view("<f4")), 0, 1) * 255).astype(np.uint8)
+        elif bits == 16:
+            v = (v >> 8).astype(np.uint8)
         if meaning == 3:
-            table = (np.array(tags[320]).reshape(3, -1).T >> 8).astype(np.uint8)
+            need(table is not None, "no palette")
             out.append(from_rgb(table[v[..., 0]]))
         elif parts >= 3:
             out.append(from_rgb(v[..., :3], v[..., 3] if parts > 3 else None))
         else:
             g = v[..., 0] if bits >= 8 else (v[..., 0].astype(int) * 255 // ((1 << bits) - 1)).astype(np.uint8)
             out.append(from_gray(255 - g if meaning == 0 else g, v[..., 1] if parts == 2 and bits >= 8 else None))
-    need(bool(out), "no pages")
     return out
 
 
-def tiff_encode(frames: list[np.ndarray]) -> bytes:
-    """A page for each frame, 32 bits a pixel, zlib."""
-    out, places = bytearray(b"II*\0" + bytes(4)), []
-    before = 4
-    for p in frames:
-        h, w = p.shape[:2]
-        data = zlib.compress(p[..., [1, 2, 3, 0]].tobytes(), 6)
-        strip = len(out)
-        out += data + bytes(len(data) % 2)
-        eights = len(out)
-        out += struct.pack("<4H", 8, 8, 8, 8)
-        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, eights), (259, 3, 1, 8), (262, 3, 1, 2), (273, 4, 1, strip), (277, 3, 1, 4), (278, 4, 1, h), (279, 4, 1, len(data)), (338, 3, 1, 2)]
+#: How strips are packed, by name.
+TIFF_PACKING = {"none": 1, "lzw": 5, "zlib": 8}
+
+
+def tiff_bytes(pages: list[np.ndarray], packing: str = "zlib", tile: int = 0) -> bytes:
+    """A file of samples [h, w, channels] of 8 or 16 bits or floats, in the order gray or red, green, blue, then alpha. tile: the side of
+    tiles, a multiple of 16; 0 for one strip a page."""
+    need(packing in TIFF_PACKING and tile % 16 == 0, "unknown packing or tiles")
+    out, before = bytearray(b"II*\0" + bytes(4)), 4
+    for v in pages:
+        h, w, parts = v.shape
+        floats, bits = v.dtype.kind == "f", 8 * v.dtype.itemsize
+        v = v.astype(f"<{v.dtype.kind}{v.dtype.itemsize}")
+        if tile:
+            v = np.pad(v, ((0, -h % tile), (0, -w % tile), (0, 0)))
+            cut = [v[y : y + tile, x : x + tile].tobytes() for y in range(0, v.shape[0], tile) for x in range(0, v.shape[1], tile)]
+        else:
+            cut = [v.tobytes()]
+        coded = [zlib.compress(c, 6) if packing == "zlib" else tiff_lzw_encode(c) if packing == "lzw" else c for c in cut]
+        places = []
+        for c in coded:
+            places.append(len(out))
+            out += c + bytes(len(c) % 2)
+
+        def kept(values: list[int], kind: str) -> int:
+            """The values themselves if they fit into four bytes, else where they stand."""
+            raw = struct.pack(f"<{len(values)}{kind}", *values)
+            if len(raw) <= 4:
+                return int.from_bytes(raw.ljust(4, b"\0"), "little")
+            at = len(out)
+            out.extend(raw + bytes(len(raw) % 2))
+            return at
+
+        tags = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, parts, kept([bits] * parts, "H")), (259, 3, 1, TIFF_PACKING[packing]), (262, 3, 1, 2 if parts > 2 else 1), (277, 3, 1, parts)]
+        where, sizes = kept(places, "I"), kept([len(c) for c in coded], "I")
+        tags += [(322, 4, 1, tile), (323, 4, 1, tile), (324, 4, len(coded), where), (325, 4, len(coded), sizes)] if tile else [(273, 4, 1, where), (278, 4, 1, h), (279, 4, 1, sizes)]
+        if parts in (2, 4):
+            tags.append((338, 3, 1, 2))
+        if floats:
+            tags.append((339, 3, parts, kept([3] * parts, "H")))
         struct.pack_into("<I", out, before, len(out))
-        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in sorted(tags)) + bytes(4)
         before = len(out) - 4
-        places.append(strip)
     return bytes(out)
 
 
+def tiff_encode(frames: list[np.ndarray], packing: str = "zlib", tile: int = 0) -> bytes:
+    """A page for each frame, 32 bits a pixel."""
+    return tiff_bytes([p[..., [1, 2, 3, 0]] for p in frames], packing, tile)
+
+
 CODECS[3:3] = [
     Codec("gif", ("gif",), lambda b: b[:6] in (b"GIF87a", b"GIF89a"), gif_decode, gif_encode, True),
     Codec("dds", ("dds",), lambda b: b[:4] == b"DDS ", dds_decode, dds_encode, True),

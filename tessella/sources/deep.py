@@ -28,6 +28,7 @@ WRITES = {
     "png": ("A8R8G8B8", "R8G8B8", "Gray8", "A8Gray8", "Gray16", "A16Gray16", "R16G16B16", "A16R16G16B16", "Index8"),
     "pgm": ("Gray8", "Gray16"), "ppm": ("R8G8B8", "R16G16B16"), "pam": ("A8R8G8B8", "R8G8B8", "Gray8", "A8Gray8", "Gray16", "A16Gray16", "R16G16B16", "A16R16G16B16"),
     "pfm": ("R32G32B32F", "R32F"), "hdr": ("R32G32B32F",),
+    "tiff": ("A8R8G8B8", "R8G8B8", "Gray8", "A8Gray8", "Gray16", "A16Gray16", "R16G16B16", "A16R16G16B16", "R32F", "R32G32B32F", "A32R32G32B32F"),
 }
 
 
@@ -143,12 +144,36 @@ def hdr_write(w: int, h: int, name: str, raw: bytes, palette: bytes | None) -> b
     return codecs.hdr_bytes(v)
 
 
+def tiff_read(raw: bytes) -> list[Frame]:
+    """Pages of 8 and 16 bits and of floats at their own depth; palettes, inverted gray and fewer bits by the codec."""
+    out = []
+    for (v, bits, meaning, floats, _), p in zip(codecs.tiff_pages(raw), codecs.tiff_decode(raw)):
+        h, w, parts = v.shape
+        if floats and parts in (1, 3, 4):
+            x = np.ascontiguousarray(v[..., {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[parts]]).astype("<u4")
+            out.append((w, h, {1: "R32F", 3: "R32G32B32F", 4: "A32R32G32B32F"}[parts], x.tobytes(), None))
+        elif not floats and bits in (8, 16) and meaning in (1, 2) and parts <= 4:
+            out.append((w, h, *samples_bits(v, bits), None))
+        else:
+            out += plain_frames([p])
+    return out
+
+
+def tiff_write(w: int, h: int, name: str, raw: bytes, palette: bytes | None) -> bytes:
+    if formats.named(name).kind == "float":
+        count = formats.named(name).size // 4
+        v = np.frombuffer(raw, "<f4").reshape(h, w, count)[..., {1: [0], 3: [2, 1, 0], 4: [2, 1, 0, 3]}[count]]
+    else:
+        v = bits_samples(name, w, h, raw)[0]
+    return codecs.tiff_bytes([np.ascontiguousarray(v)])
+
+
 def plain_frames(frames: list[np.ndarray]) -> list[Frame]:
     return [(p.shape[1], p.shape[0], "A8R8G8B8", p[..., ::-1].tobytes(), None) for p in frames]
 
 
-READERS: dict[str, Callable[[bytes], list[Frame]]] = {"png": png_read, "ppm": pnm_read, "pgm": pnm_read, "pam": pnm_read, "pfm": pnm_read, "hdr": hdr_read}
-WRITERS: dict[str, Callable[..., bytes]] = {"png": png_write, "pgm": pnm_write, "ppm": pnm_write, "pam": pam_write, "pfm": pfm_write, "hdr": hdr_write}
+READERS: dict[str, Callable[[bytes], list[Frame]]] = {"png": png_read, "ppm": pnm_read, "pgm": pnm_read, "pam": pnm_read, "pfm": pnm_read, "hdr": hdr_read, "tiff": tiff_read}
+WRITERS: dict[str, Callable[..., bytes]] = {"png": png_write, "pgm": pnm_write, "ppm": pnm_write, "pam": pam_write, "pfm": pfm_write, "hdr": hdr_write, "tiff": tiff_write}
 
 
 def compatible(kind: str, pixel_format: str) -> str:
@@ -162,7 +187,8 @@ def compatible(kind: str, pixel_format: str) -> str:
     if f.kind not in ("argb", "gray", "float"):
         return compatible(kind, formats.NEAREST[pixel_format]) if pixel_format in formats.NEAREST else known[0]
     gray = f.kind == "gray"
-    wishes = [DEEP[(1 if gray else 3) + f.alpha][deep], DEEP[1 if gray else 3][deep], DEEP[1][deep]]
+    wishes = ["A32R32G32B32F" if f.alpha else "R32G32B32F"] if f.kind == "float" else []
+    wishes += [DEEP[(1 if gray else 3) + f.alpha][deep], DEEP[1 if gray else 3][deep], DEEP[1][deep]]
     return next((w for w in wishes if w in known), known[0])
 
 

@@ -217,3 +217,20 @@ def test_missing_pixels_are_an_error(spark):
         for f in (lambda p: neighborhood.filtered(p, "gauss3", ("g",)), lambda p: neighborhood.rank(p, "median", 3, ("g",))):
             with pytest.raises(Exception, match="missing or repeated"):
                 f(whole.where(gone)).collect()
+
+
+def test_tiff_packings_tiles_and_depths(spark, tmp_path):
+    noise = RNG.integers(0, 256, (70, 45, 4)).astype(np.uint8)
+    soft = np.repeat(np.repeat(noise[:10, :9], 7, 0), 5, 1)
+    for p in (noise, soft, noise[:1, :1], np.zeros((200, 300, 4), np.uint8)):
+        for packing in codecs.TIFF_PACKING:
+            for tile in (0, 16, 64):
+                assert (codecs.tiff_decode(codecs.tiff_encode([p, p[:1]], packing, tile))[0] == p).all(), (packing, tile, p.shape)
+    for k, (packing, tile) in enumerate((("lzw", 0), ("lzw", 32), ("zlib", 16))):  # another library reads them
+        (tmp_path / f"{k}.tiff").write_bytes(codecs.tiff_bytes([noise[..., 1:]], packing, tile))
+    for r in spark.read.format("image").load(str(tmp_path)).select("image.*").collect():
+        assert (np.frombuffer(bytes(r.data), np.uint8).reshape(70, 45, 3)[..., ::-1] == noise[..., 1:]).all()
+    wide = RNG.integers(0, 65536, (5, 4, 3)).astype("<u2")
+    assert deep.tiff_read(codecs.tiff_bytes([wide], "lzw"))[0][3] == wide[..., ::-1].tobytes()
+    big = b"MM\0*" + codecs.tiff_bytes([wide])[4:]
+    assert deep.decode(spark.createDataFrame([("x.tif", big)], "path string, content binary")).first().error
