@@ -30,10 +30,10 @@ def chi_square_quantile(level: float) -> float:
 
 #: Production parameters. PART of a group's documents, the nearer ones, makes its estimates (CONSISTENCY scales the
 #: covariance of that part to that of a normal population, for four dimensions), so that nearly as many may be outliers;
-#: STEPS concentration steps from each of STARTS starts, then at most MORE from the best one, until no group's log
+#: STEPS concentration steps from each start, FIRST if STARTS of them compete, then at most MORE from the best one, until no group's log
 #: determinant falls by STILL; then documents nearer than all but OUTSIDE of a normal population make the estimates. A group
 #: of fewer than SMALLEST documents takes the estimates of its language, or of all.
-PART, CONSISTENCY, STEPS, STARTS, MORE, STILL, OUTSIDE, SMALLEST = 0.5, 2.109, 3, 3, 8, 0.01, 0.025, 60
+PART, CONSISTENCY, STEPS, FIRST, STARTS, MORE, STILL, OUTSIDE, SMALLEST = 0.5, 2.109, 3, 2, 3, 8, 0.01, 0.025, 60
 #: Share of a normal population beyond the cutoff. It is this small because repeated words have a long tail in clean documents.
 LEVEL = 4e-9
 CUTOFF = chi_square_quantile(LEVEL)
@@ -137,9 +137,10 @@ def with_groups(rows: DataFrame, few: DataFrame, by: tuple[str, ...] = ("_group"
 
 def concentrated(sample: DataFrame, middle: DataFrame, small: bool, by: tuple[str, ...] = ("_group",)) -> DataFrame:
     """One concentration step: the estimates of the part of each group that lies nearest by the estimates given."""
-    measured = with_groups(sample, middle, by, small).select(*by, *(f"x{i}" for i in P), distance().alias("d"))
-    limit = materialise(measured.groupBy(*by).agg(F.percentile_approx("d", PART, 10_000).alias("limit")), "limits", small=True)
-    return materialise(estimates(with_groups(measured, limit, by, small).where("d <= limit"), CONSISTENCY, by), "estimates", small=True)
+    measured = with_groups(sample, middle, by, small).select(*by, *MEANS, *FACTOR, distance().alias("d"))
+    limit = measured.groupBy(*by).agg(F.percentile_approx("d", PART, 10_000).alias("limit"), *(F.first(c).alias(c) for c in (*MEANS, *FACTOR)))
+    limit = materialise(limit, "limits", small=True)
+    return materialise(estimates(with_groups(sample, limit, by, small).where(distance() <= F.col("limit")).select(*by, *(f"x{i}" for i in P)), CONSISTENCY, by), "estimates", small=True)
 
 
 def group_key(*columns: Column) -> Column:
@@ -161,13 +162,13 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", starts: in
     chosen = pairs.join(langs, "_lang").select(F.col("_pair").alias("_group"), F.when(F.col("n") >= SMALLEST, F.col("_pair")).when(F.col("n_lang") >= SMALLEST, F.col("_lang")).otherwise(key()).alias("_to"))
     chosen = materialise(chosen, "groups", small=True)
     placed = with_groups(good.withColumn("_group", key(*both)), chosen).drop("_group").withColumnRenamed("_to", "_group")
-    placed = materialise(placed.select("_group", *(f"x{i}" for i in P)), "vectors")
+    placed = placed.select("_group", *(f"x{i}" for i in P))
     # groups that lend their estimates are made of all documents below them
     lent = good.select(key(lang_).alias("_group"), *(f"x{i}" for i in P)).unionByName(good.select(key().alias("_group"), *(f"x{i}" for i in P)))
     needed = materialise(chosen.select(F.col("_to").alias("_group")).distinct(), "needed", small=True)
     own = placed.where(~F.col("_group").startswith('{"level":1') & ~F.col("_group").startswith('{"level":0'))
     small = few_enough(chosen)
-    sample = own.unionByName(with_groups(lent, needed, small=small))
+    sample = materialise(own.unionByName(with_groups(lent, needed, small=small)), "samples")
     # robust distances by component. The quartiles' distance gives the spread, unless outliers on one side (more than a
     # quarter) stretch it far beyond the median distance from the median, which fewer than half can't move
     centre = sample.groupBy("_group").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in P))
@@ -187,7 +188,7 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", starts: in
         others = estimates(shapes, 1.0, both_keys).drop(*MEANS, "log_det").join(centre.select("_group", *MEANS), "_group").select(*both_keys, *MEANS, *FACTOR)
         middle = materialise(middle.unionByName(others), "starts", small=True)
         sampled = sample.withColumn("start", F.explode(F.array(*(F.lit(k) for k in range(starts)))))
-    for _ in range(STEPS):
+    for _ in range(STEPS if starts == 1 else FIRST):
         middle = concentrated(sampled, middle, small, both_keys)
     names = [*MEANS, *FACTOR, "log_det"]
     if starts > 1:
@@ -195,12 +196,12 @@ def fit(stats: DataFrame, lang: str = "lang", source: str = "source", starts: in
         middle = materialise(best.select("_group", *(F.col(f"b.{c}") for c in names)), "estimates", small=True)
     for _ in range(more):
         after = concentrated(sample, middle, small)
+        both = after.select("_group", *names, F.lit(True).alias("new")).unionByName(middle.select("_group", *names, F.lit(False).alias("new")))
+        of = lambda new: F.max(F.when(F.col("new") == new, F.col("log_det")))
         # a group that has come to rest keeps its estimates
-        lower = after.unionByName(middle.select("_group", *names)).groupBy("_group").agg(F.min(F.struct("log_det", *MEANS, *FACTOR)).alias("b"), (F.max("log_det") - F.min("log_det")).alias("fell"))
-        lower = materialise(lower.select("_group", *(F.col(f"b.{c}") for c in names), "fell"), "estimates", small=True)
-        fell = lower.join(middle.select("_group", F.col("log_det").alias("old")), "_group").where((F.col("fell") > STILL) & (F.col("log_det") < F.col("old")))
-        middle = lower.drop("fell")
-        if fell.isEmpty():
+        lower = both.groupBy("_group").agg(F.min(F.struct("log_det", *MEANS, *FACTOR)).alias("b"), (of(False) - of(True)).alias("fell"))
+        middle = materialise(lower.select("_group", *(F.col(f"b.{c}") for c in names), "fell"), "estimates", small=True)
+        if middle.where(F.col("fell") > STILL).isEmpty():
             break
     if outside:
         measured = with_groups(sample, middle, small=small).select("_group", *(f"x{i}" for i in P), distance().alias("d"))

@@ -133,7 +133,7 @@ def production_by_hand(x):
     found = []
     for c in (np.diag(s**2), shape(s * np.tanh(z)), shape(2 * s * np.divide(z, norm, where=norm > 0, out=np.zeros_like(z)))):
         at = (m, c)
-        for _ in range(rules.STEPS):
+        for _ in range(rules.FIRST):
             at = step(*at)
         found.append((np.linalg.slogdet(at[1])[1], len(found), at))
     low, _, best = min(found, key=lambda f: f[:2])
@@ -171,7 +171,7 @@ def test_columns_with_internal_names_pass_through(spark):
     good = "".join(f"w{i} " for i in range(80))
     docs = spark.createDataFrame([(i, good + f"x{i}", "en", "s", *range(len(names))) for i in range(70)], f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` int' for n in names)}")
     stats = rules.materialise(rules.statistics(docs), "stats")
-    out = rules.judge(stats, rules.production_fit(stats)).collect()
+    out = rules.judge(stats, rules.fit(stats)).collect()
     assert len(out) == 70 and all([r[n] for n in names] == list(range(len(names))) and r.n_words == 81 for r in out)
     # the results' own names are replaced
     again = rules.statistics(docs.withColumns({"n_words": F.lit(-1), "kept": F.lit(-1)}).drop("_row"))
