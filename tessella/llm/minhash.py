@@ -259,14 +259,13 @@ def open_links(member: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, **how) -> DataFrame:
     """(doc_id, _key, class_id) for every row, as `judged` finds them."""
-    return judged(documents, **how).drop("_best", "n_links", "linked_to")
+    return judged(documents, **how).drop("_best", "n_links")
 
 
 def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, weights: str = "set") -> DataFrame:
-    """(doc_id, _key, class_id, _best, n_links, linked_to) for every row: class_id is the smallest doc_id of all texts that
+    """(doc_id, _key, class_id, _best, n_links) for every row: class_id is the smallest doc_id of all texts that
     links connect; _best: the row has that id, and of the class's texts with it the one with the smallest key; n_links:
-    verified links of its text to different texts, of which as many are found as connect the class; linked_to: the smallest
-    doc_id of those texts (null without links).
+    verified links of its text to different texts, of which as many are found as connect the class.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is at least `least`. Equal texts share
     a key (the MD5 of the text) and are one node. In each band bucket all texts are first compared with the one that
@@ -301,12 +300,11 @@ def judged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     named = materialise(named, "named", small=True)
     smallest = named.groupBy("root").agg(F.min(F.struct(F.col("_first").isNull(), "_first", F.col("_key").alias("k"))).alias("c"))
     by_text = named.join(smallest, "root").select("_key", F.col("c._first").alias("class_id"), (F.col("_key") == F.col("c.k")).alias("_best"))
-    ends = links.select("a", "b").union(links.select("b", "a")).distinct().join(texts.select(F.col("_key").alias("b"), "_first"), "b")
-    degrees = ends.groupBy(F.col("a").alias("_key")).agg(F.count("*").alias("n_links"), F.min("_first").alias("linked_to"))
+    degrees = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("_key")).agg(F.count("*").alias("n_links"))
     by_text = by_text.join(degrees, "_key", "left")
     best = F.col("_best") & F.col("_id").eqNullSafe(F.col("class_id"))
     n_links = F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id", best.alias("_best"), n_links, "linked_to")
+    return sketches.select("_id", "_key").join(by_text, "_key").select(F.col("_id").alias(doc_id), "_key", "class_id", best.alias("_best"), n_links)
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
@@ -320,4 +318,4 @@ def one_of_each(documents: DataFrame, **how) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class, whether it stays, and its verified links."""
     classes = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return classes.select("doc_id", "class_id", F.col("_best").alias("kept"), "n_links", "linked_to")
+    return classes.select("doc_id", "class_id", F.col("_best").alias("kept"), "n_links")

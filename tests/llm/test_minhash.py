@@ -127,17 +127,12 @@ def test_links_are_verified_and_connect_classes(spark, monkeypatch):
         rows.append((i, " ".join(base)))
     rows += [(100, " ".join(rng.choices(words, k=50))), (101, rows[0][1])]
     got = {r.doc_id: r for r in minhash.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
-    for i, r in got.items():
-        assert r.class_id == dict(brute(rows))[i]
-        assert (r.n_links == 0) == (r.linked_to is None)
-        if r.linked_to is not None:
-            a, b = sets[i], sets[r.linked_to]
-            assert got[r.linked_to].class_id == r.class_id and len(a & b) >= minhash.LEAST * len(a | b)
+    assert {i: r.class_id for i, r in got.items()} == dict(brute(rows))
     members = {}
     for i, t in rows:
         members.setdefault(got[i].class_id, {})[t] = got[i].n_links
-    assert all(sum(m.values()) >= 2 * (len(m) - 1) for m in members.values())
+    for m in members.values():  # each text of a class has a link, and there are enough to connect them
+        assert sum(m.values()) >= 2 * (len(m) - 1) and (len(m) == 1) == (min(m.values()) == 0)
 
 
 def test_columns_with_internal_names_pass_through(spark):
