@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,27 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders that this process wrote, in order.
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, also: str | None = None) -> Iterator[None]:
+    """What `materialise` writes within the block is deleted at its end, but for the table written last; `also`: a folder that isn't
+    needed any more either. If the block fails everything stays."""
+    before, sc = len(_written), spark.sparkContext
+    yield
+    gone = [*_written[before:-1], *([also] if also else [])]
+    del _written[before:-1]
+    for folder in gone:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def last_written() -> str | None:
+    return _written[-1] if _written else None
+
+
 def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
 
@@ -44,6 +66,7 @@ def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,6 +130,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     )
     found = documents.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id"))  # `rows` ids at most
     two_each = found.groupBy("_id", "_label").agg(F.min("_text").alias("low"), F.max("_text").alias("high"), F.count("*").alias("n"))
+    two_each = two_each.withColumn("high", F.when(F.col("n") > 1, F.col("high")))
     return [(t, int(r["_label"])) for r in sorted(two_each.collect(), key=lambda r: r["_id"]) for t in (r["low"], r["high"])[: r["n"]]]
 
 

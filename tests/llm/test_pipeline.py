@@ -38,3 +38,30 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where(F.col("length") > 0).count() > 50
+
+
+def test_a_run_leaves_its_result_only(spark):
+    from tessella.llm import _shared
+
+    before = set(_shared._written)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(set(_shared._written) - before) == 1 and out.count() > 50
+    assert out.count() == out.select("doc_id", "piece").distinct().count()
+
+
+def test_edge_rows_go_through_every_stage(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names, an empty table."""
+    good = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (None, "word " * 60, "en", None, 300)], good.schema)
+    extra = good.unionByName(odd).unionByName(good.limit(3)).withColumns({"_score": F.lit(5), "_row": F.lit("r"), "_key": F.lit("k"), "x0": F.lit(1.5)})
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == extra.columns and {(r["_score"], r["_row"], r["_key"], r["x0"]) for r in docs.collect()} <= {(5, "r", "k", 1.5)}
+    assert docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty() and docs.count() > 20
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0

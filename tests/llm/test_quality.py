@@ -60,3 +60,21 @@ def test_held_out_accuracy(spark):
     assert auc([y for y, _, _ in held], [s for _, s, _ in held]) > 0.99
     assert np.mean([p for y, _, p in held if y == 1]) > 0.99
     assert np.mean([p for y, _, p in held if y == 0]) < 0.1
+
+
+def test_query_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    margins, bias = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.op7_quality_classifier(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.score == pytest.approx(by_hand(texts[r.doc_id], margins, bias), abs=1e-9) and r.predicted == (r.score >= quality.THRESHOLD)
+
+
+def test_repeated_ids_are_bounded(spark):
+    """A labelled id that very many rows have brings two texts, not all of them."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert quality.labelled_sample(docs, labels, "quality", 10) == [("text 0", 1), ("text 99", 1), ("b", 0), ("", 0)]
