@@ -48,8 +48,9 @@ def scratch(spark: SparkSession, also: str | None = None) -> Iterator[None]:
     before, sc = len(_written), spark.sparkContext
     yield
     gone = [*_written[before:-1], *([also] if also else [])]
-    del _written[before:-1]
     for folder in gone:
+        if folder in _written:
+            _written.remove(folder)
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
