@@ -192,3 +192,21 @@ def test_base_sql(spark):
     names = ["doc_id", *COLUMNS]
     want = con.sql(f"select {', '.join(names)} from ({rules.OP9_BASE_SQL})").fetchall()
     assert sorted(want) == sorted(tuple(r[n] for n in names) for r in rules.statistics(frame).collect())
+
+
+def test_registered_queries_are_callable_and_base_matches_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tessella.llm import queries
+
+    found = queries.queries()
+    assert [n for n, q in found.items() if not callable(q)] == [] and set(queries.oracle_sql()) <= set(found)
+    good = "".join(f"w{i} " for i in range(80))
+    rows = [(i, good + f"x{i}", "en" if i % 2 else None, "s") for i in range(70)] + [(None, good, "de", None), (7, None, "en", "s"), (7, "a b c a b c", None, None), (8, "é #x\x0b\x0c\r\ny | <z>\x85\xa0q\nl\nl", "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = found["op9_base"](spark, str(tmp_path)), con.execute(queries.oracle_sql()["op9_base"])
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
