@@ -28,6 +28,8 @@ from tessella.llm._shared import materialise, new_folder, sub_batches
 LEAST, BLOCK_LINES, FILE_BYTES, LEVEL, DATE = 100, 1000, 1 << 30, 6, "1970-01-01T00:00:00Z"
 #: Payloads of more than HOT pages are joined by broadcast, if there are at most MOST_HOT of them.
 HOT, MOST_HOT = 10_000, 200_000
+#: Rows without payloads are about a fortieth of the pages: they are returned in a NARROW-th of the shuffle's partitions, or two a core.
+NARROW = 16
 #: Schemes of Hadoop's file systems under the names that pyarrow has for them.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
@@ -56,6 +58,13 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fewer(rows: DataFrame) -> DataFrame:
+    """rows without payloads, dealt evenly to fewer partitions if the session has many more, so that a result is written as fewer
+    files. Whatever made the rows still runs in as many tasks as before."""
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, partitions(rows) // NARROW)
+    return rows.repartition(n) if 2 * n <= partitions(rows) else rows
+
+
 def capture_key(url: str = "url", page_id: str = "page_id") -> Column:
     """`com,example,www)/path?query 00000000000000000007`: control characters and spaces of host, path and query as %20.
 
@@ -112,12 +121,17 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes a record per page and returns (key, file, offset, length) of each. A null html is an empty payload."""
+    """Writes a record per page and returns (key, file, offset, length) of each. A null html is an empty payload.
+
+    Each task writes the captures of its archives as a Parquet file beside them and returns that file's name. Spark's own
+    writer would fork a few processes for each of these many small files, if the folder is of a local file system."""
     records = with_revisits(pages, least).withColumn("key", capture_key())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import parquet
+
         system, root = file_system(folder)
-        out, name, at = None, "", 0
+        out, name, at, captures, captured = None, "", 0, None, f"captures-{uuid.uuid4().hex}.parquet"
         try:
             for batch in sub_batches(batches, "html", 4_000_000):
                 found = []
@@ -133,14 +147,22 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, level: int
                     out.write(raw)
                     found.append((row["key"], name, at, len(raw)))
                     at += len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
+                rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
+                captures = captures or parquet.ParquetWriter(f"{root}/{captured}", rows.schema, filesystem=system)
+                captures.write_batch(rows)
         finally:
-            if out:
-                out.close()
+            for x in (out, captures):
+                if x:
+                    x.close()
+        if captures:
+            yield pa.RecordBatch.from_arrays([pa.array([captured])], names=["name"])
 
     # an archive or more for each partition of the shuffle, which are put together by size
     file_system(folder)
-    return materialise(records.mapInArrow(run, "key string, file string, offset long, length long"), "captures")
+    names, schema = [r.name for r in records.mapInArrow(run, "name string").collect()], "key string, file string, offset long, length long"
+    if not names:
+        return pages.sparkSession.createDataFrame([], schema)
+    return pages.sparkSession.read.schema(schema).parquet(*(f"{folder}/{n}" for n in names))
 
 
 def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[bytes, str, int, int]]:
@@ -269,13 +291,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     top = build_index(write_archives(pages, folder), folder)
     found = lookup(pages.select(capture_key().alias("key")), folder, top)
-    return found.select(
+    found = found.select(
         page_of("record_id").alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
         "record_type",
         page_of("refers_to").alias("refers_to"),
     )
+    return fewer(found)
 
 
 OP1_SQL = """

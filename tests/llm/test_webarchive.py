@@ -124,3 +124,34 @@ def test_folders():
     assert w.file_system("file:/tmp/x")[1] == w.file_system("file:///tmp/x")[1] == w.file_system("/tmp/x")[1] == "/tmp/x"
     with pytest.raises(ValueError, match="viewfs"):
         w.file_system("viewfs://in/x")
+
+
+def test_many_partitions_make_few_files(spark, tmp_path):
+    """Files of Spark's writers cost forks of the executor; their number doesn't follow the shuffle's partitions."""
+    from pathlib import Path
+
+    from tessella.llm._shared import shared_dir
+
+    rows = [(i, f"http://h{i % 9}.org/{i}", f"page {i % 150} " * 20) for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    shared, few = Path(shared_dir(spark).removeprefix("file:")), 2 * spark.sparkContext.defaultParallelism
+    before = set(shared.glob("*/part-*"))
+    set_to = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        made = w.op1_warc(spark, str(tmp_path))
+        made.write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=key) == sorted(brute(rows), key=key)
+    assert len(list(tmp_path.glob("out/part-*"))) <= few
+    assert len(set(shared.glob("*/part-*")) - before) <= few + 1  # the responses' ids, and the digests of one file
+
+
+def test_captures_of_other_attempts_are_not_read(spark, tmp_path):
+    folder, _, pages = run(spark, ROWS, tmp_path)
+    again = w.write_archives(pages, folder)  # beside those of the first run
+    assert again.count() == len(ROWS) and len(list((tmp_path / "warc").glob("captures-*"))) > len(set(again.inputFiles()))
