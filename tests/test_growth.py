@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tessella.operators import geometry
 from tessella.plans import catalog
 
 RNG = np.random.default_rng(11)
@@ -38,3 +39,30 @@ def test_images_that_lack_frames(spark, tmp_path, ids):
     rows = [(i, [float(x) for x in RNG.random(64) - 0.5], 0) for i in ids]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     against_sql(spark, tmp_path, ["frames_set_count", "frames_truncate", "object_append", "object_insert_many"])
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("odd")
+    rows = [(1, "a" * 100), (1, "bc" * 9), (2, ""), (3, None), (4, "xyz" * 700), (None, "no id"), (5, "q"), (4, "w")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_split_filled_joins_nothing(spark, odd_texts):
+    against_sql(spark, odd_texts, ["split_filled"])
+    assert "Join" not in plan(catalog.queries()["split_filled"](spark, str(odd_texts)))
+    p = RNG.integers(0, 256, (37, 70, 4))
+    px = relation(spark, [p]).where("not (x = 3 and y = 5)")
+    for w, h in ((70, 50), (33, 40), (1, 3), (5, 1000)):
+        got = {(r.chunk_x, r.chunk_y, r.x, r.y): (r.a, r.r, r.g, r.b) for r in geometry.split_filled(px, w, h, {"a": 1, "r": 2, "g": 3, "b": 4}).collect()}
+        want = {}
+        for cx in range(-(-70 // w)):
+            for cy in range(-(-37 // h)):
+                for x in range(w):
+                    for y in range(h):
+                        at = cy * h + y, cx * w + x
+                        want[cx, cy, x, y] = tuple(p[at]) if at[0] < 37 and at[1] < 70 and at != (5, 3) else (1, 2, 3, 4)
+        if (w, h) == (1, 3):  # the one chunk column that lacks a pixel still has two
+            assert (3, 1, 0, 2) in got
+        assert got == want
