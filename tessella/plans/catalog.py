@@ -24,10 +24,10 @@ def size_join(select: str, where: str = "") -> str:
 
 # coordinates
 for fixture in ("doc", "events"):
-    add(f"flip_{fixture}", fixture, geometry.flip, size_join("image_id, x, h - 1 - y as y, a, r, g, b"), XY + ARGB)
-    add(f"mirror_{fixture}", fixture, geometry.mirror, size_join("image_id, w - 1 - x as x, y, a, r, g, b"), XY + ARGB)
+    add(f"flip_{fixture}", fixture, geometry.flip, size_join("image_id, x, h - 1 - y as y, a, r, g, b"), XY + ARGB, sized=True)
+    add(f"mirror_{fixture}", fixture, geometry.mirror, size_join("image_id, w - 1 - x as x, y, a, r, g, b"), XY + ARGB, sized=True)
     for q, to in ((1, "y as x, w - 1 - x as y"), (2, "w - 1 - x as x, h - 1 - y as y"), (3, "h - 1 - y as x, x as y")):
-        add(f"rotate{90 * q}_{fixture}", fixture, lambda p, q=q: geometry.rotate90(p, q), size_join(f"image_id, {to}, a, r, g, b"), XY + ARGB)
+        add(f"rotate{90 * q}_{fixture}", fixture, lambda p, q=q: geometry.rotate90(p, q), size_join(f"image_id, {to}, a, r, g, b"), XY + ARGB, sized=True)
 add("flip_known_size", "rgba", lambda p: geometry.flip(p, **S8), "select image_id, x, 7 - y as y, a, r, g, b from p", XY + ARGB)
 add("crop", "events", lambda p: geometry.crop(p, 10, 2, 50, 30), "select image_id, x - 10 as x, y - 2 as y, a, r, g, b from p where x between 10 and 59 and y between 2 and 31", XY + ARGB)
 add("copy_rect", "rgba", lambda p: geometry.copy_rect(p, p, 0, 4, 4, 4, 6, -2),

@@ -49,6 +49,12 @@ def odd_texts(spark, tmp_path_factory):
     return folder
 
 
+def test_turned_documents_join_nothing(spark, odd_texts):
+    names = ["flip_doc", "mirror_doc", "rotate90_doc", "rotate180_doc", "rotate270_doc"]
+    against_sql(spark, odd_texts, names)
+    assert not any("Join" in plan(catalog.queries()[n](spark, str(odd_texts))) for n in names)
+
+
 def test_split_filled_joins_nothing(spark, odd_texts):
     against_sql(spark, odd_texts, ["split_filled"])
     assert "Join" not in plan(catalog.queries()["split_filled"](spark, str(odd_texts)))
