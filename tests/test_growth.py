@@ -3,9 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessella.functions import arrow
 from tessella.operators import geometry
 from tessella.plans import catalog
+from tessella.sources import formats, images
 
 RNG = np.random.default_rng(11)
 SF = "/root/testdata/sf0.001"
@@ -72,3 +75,40 @@ def test_split_filled_joins_nothing(spark, odd_texts):
         if (w, h) == (1, 3):  # the one chunk column that lacks a pixel still has two
             assert (3, 1, 0, 2) in got
         assert got == want
+
+
+STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png"]
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_one_worker_before_the_shuffle_and_one_after_it(spark, name):
+    found = plan(catalog.queries()[name](spark, SF))
+    assert found.count("MapInArrow") <= 2 and "FlatMapGroups" not in found
+
+
+def test_small_shuffles_keep_their_partitions(spark):
+    packed = images.from_pixels(relation(spark, [RNG.integers(0, 256, (2, 2, 4)) for _ in range(40)]))
+    assert packed.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # the work isn't one task's
+
+
+def test_scattered_pixels_come_together(spark):
+    pictures = [RNG.integers(0, 256, (h, w, 4)).astype(np.uint8) for h, w in ((1, 1), (30, 7), (3, 200), (16, 16))]
+    px = relation(spark, pictures)
+    for key, frame in (("image_id", px), ("image_id", px.withColumn("image_id", F.struct("image_id", F.lit(None).cast("string").alias("z"))))):
+        for r in images.from_pixels(frame, key).collect():
+            p = pictures[r.image_id if frame is px else r.image_id.image_id]
+            assert (np.frombuffer(r.bits, np.uint8).reshape(r.height, r.width, 4) == p).all() and p.shape[:2] == (r.height, r.width)
+    back = images.to_pixels_fast(formats.untyped(formats.typed(images.from_pixels(px))), ["image_id"], rows=50)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, px.collect()))
+
+
+def test_parts_and_codes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"bits": [b"x" * n for n in (5, 0, 9, 1, 20, 1)] + [None]})
+    found = list(arrow.parts(iter([batch]), "bits", 10))
+    assert pa.Table.from_batches(found).to_pydict() == batch.to_pydict() and max(b.num_rows for b in found) <= 3
+    s = pa.array([{"a": 1, "b": None}, {"a": 1, "b": None}, {"a": 2, "b": None}, {"a": 1, "b": 5}, None])
+    c = arrow.codes(s)
+    assert c[0] == c[1] and len(set(c.tolist())) == 4
+    assert arrow.codes(pa.array([7, None, 7])).tolist() == [1, 0, 1]
