@@ -77,7 +77,7 @@ def test_split_filled_joins_nothing(spark, odd_texts):
         assert got == want
 
 
-STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png"]
+STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png", "codec_detect"]
 
 
 @pytest.mark.parametrize("name", STEPS)
