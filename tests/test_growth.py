@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import arrow
-from tessella.operators import geometry
+from tessella.operators import drawing, geometry
 from tessella.plans import catalog
 from tessella.sources import formats, images
 
@@ -77,7 +77,7 @@ def test_split_filled_joins_nothing(spark, odd_texts):
         assert got == want
 
 
-STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png", "codec_detect"]
+STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png", "codec_detect", "flood_fill"]
 
 
 @pytest.mark.parametrize("name", STEPS)
@@ -112,3 +112,20 @@ def test_parts_and_codes():
     c = arrow.codes(s)
     assert c[0] == c[1] and len(set(c.tolist())) == 4
     assert arrow.codes(pa.array([7, None, 7])).tolist() == [1, 0, 1]
+
+
+def test_flood_by_runs(spark):
+    pictures = [np.repeat(RNG.integers(0, 2, (h, w, 1)) * 9, 4, 2).astype(np.uint8) for h, w in ((9, 9), (1, 12), (20, 3), (15, 40))]
+    got = {}
+    for r in drawing.flood_fill(relation(spark, pictures), 0, 0, (1, 2, 3, 4)).collect():
+        got[r.image_id, r.y, r.x] = (r.a, r.r, r.g, r.b)
+    for i, p in enumerate(pictures):
+        same, todo, seen = (p == p[0, 0]).all(2), [(0, 0)], set()
+        while todo:
+            y, x = todo.pop()
+            if 0 <= y < p.shape[0] and 0 <= x < p.shape[1] and same[y, x] and (y, x) not in seen:
+                seen.add((y, x))
+                todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+        for y in range(p.shape[0]):
+            for x in range(p.shape[1]):
+                assert got[i, y, x] == ((1, 2, 3, 4) if (y, x) in seen else tuple(p[y, x]))
