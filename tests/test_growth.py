@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import arrow
-from tessella.operators import drawing, geometry
+from tessella.operators import analysis, drawing, geometry
 from tessella.plans import catalog
 from tessella.sources import formats, images
 
@@ -77,7 +77,7 @@ def test_split_filled_joins_nothing(spark, odd_texts):
         assert got == want
 
 
-STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png", "codec_detect", "flood_fill"]
+STEPS = ["convert_gray32", "convert_x8r8g8b8", "samples_index8_gray8", "samples_float_swapped", "deep_png_a16r16g16b16", "deep_png_index8", "set_pixel_32", "raw_a8r8g8b8", "raw_gray16", "codec_jpeg_gray", "codec_png", "codec_detect", "flood_fill", "skew_angle"]
 
 
 @pytest.mark.parametrize("name", STEPS)
@@ -129,3 +129,21 @@ def test_flood_by_runs(spark):
         for y in range(p.shape[0]):
             for x in range(p.shape[1]):
                 assert got[i, y, x] == ((1, 2, 3, 4) if (y, x) in seen else tuple(p[y, x]))
+
+
+def test_skew_of_tall_images_by_definition(spark):
+    """As many angles at a time as memory allows."""
+    p = np.full((12_000, 2, 4), 255, np.uint8)
+    p[::40, :, 2] = 0
+    small = np.where(RNG.random((25, 31, 1)) < 0.3, 0, 255).astype(np.uint8).repeat(4, 2)
+    got = {r.image_id: r.angle for r in analysis.skew_angle(relation(spark, [p, small])).collect()}
+    for k, q in enumerate((p, small)):
+        under = np.concatenate([q[1:, :, 2], np.full((1, q.shape[1]), 255)])
+        y, x = np.nonzero((q[..., 2] < 128) & (under >= 128))
+        votes = {}
+        for i in range(201):
+            t = np.radians(i * 0.1 - 10)
+            for d in np.floor(np.round(y * np.cos(t) - x * np.sin(t), 6)).astype(int).tolist():
+                votes[i, d] = votes.get((i, d), 0) + 1
+        lines = sorted(votes, key=lambda v: (-votes[v], *v))[:20]
+        assert got[k] == pytest.approx(sum(i for i, _ in lines) / len(lines) * 0.1 - 10)
